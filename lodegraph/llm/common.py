@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that are scanned at a time; the scanner needs about 40 bytes of memory for each.
 GROUP_BYTES = 2_000_000
@@ -29,6 +30,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """df, to be broadcast in a join if it has at most so many rows; they should be a few numbers each. Beyond that
+    the join shuffles. df should be a checkpoint or a table, since its rows are counted."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def worker_cache() -> dict:
     """A dict that lives as long as the Python worker, whatever is pickled by value."""
     return sys.modules.setdefault("_lodegraph_worker_cache", types.ModuleType("_lodegraph_worker_cache")).__dict__
