@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from . import decontaminate, jaccard, tokens
+from . import decontaminate, jaccard, quality, sharding, tokens, topk
 
 
 def tokenizer_path(name: str) -> str:
@@ -22,6 +22,17 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    held_out = F.coalesce(quality.fold(F.col("doc_id")) == 0, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), 8)
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
@@ -30,12 +41,17 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.filter("vec_id % 20 = 0"), 20)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op5_jaccard_join, op6_token_counts, op10_byte_bpe)
+    f.__name__: f for f in (op1_decontamination, op3_quality, op4_sharding, op5_jaccard_join, op6_token_counts, op7_topk, op10_byte_bpe)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -51,4 +67,22 @@ named AS (SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS s
 SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op7_topk": """
+WITH v AS (SELECT vec_id, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum([a[1] * a[2] FOR a IN list_transform(range(1, len(q.e) + 1), lambda i: [q.e[i], c.e[i]])])::BIGINT AS score
+      FROM v q, v c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20""",
+    # No CRC function in SQL: the checksum is worked out bit by bit.
+    "op4_sharding": """
+WITH t AS (SELECT i, list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i::BIGINT) AS c FROM range(0, 256) r(i)),
+crc AS (SELECT list(c ORDER BY i) AS c FROM t),
+d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS s, hex(encode(coalesce(text, ''))) AS b FROM documents),
+sums AS (SELECT doc_id, s, length(b) // 2 + 1 AS size,
+   xor(4294967295, list_reduce([('0x' || substr(b, 2 * k - 1, 2))::BIGINT FOR k IN range(1, length(b) // 2 + 1)], lambda a, x: xor(a >> 8, c[(xor(a, x) & 255) + 1]), 4294967295::BIGINT)) AS crc FROM d, crc),
+scored AS (SELECT *, [{'v': -ln((('0x' || substr(md5(s || ':' || k), 1, 13))::BIGINT + 0.5) / 4503599627370496), 'k': k} FOR k IN range(0, 9)] AS r FROM sums)
+SELECT doc_id, size::BIGINT AS size, crc AS text_crc32, 'key' AS law, list_min(r[1:8]).k::INTEGER AS shard,
+       (row_number() OVER (PARTITION BY list_min(r[1:8]).k ORDER BY md5(s || '/' || crc || '/' || size), doc_id) - 1)::BIGINT AS slot,
+       list_min(r).k::INTEGER AS grown_shard
+FROM scored""",
 }
