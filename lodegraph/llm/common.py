@@ -20,13 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Writes df to the cluster's shared checkpoint folder and reads it from there. A folder of its own is
-    made only where the session names none, as in tests."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares for checkpoints. One of our own is made only where the session names
+    none, as in tests."""
     sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
+    have = sc._jsc.sc().getCheckpointDir()
+    if not have.isDefined():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        have = sc._jsc.sc().getCheckpointDir()
+    return have.get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Writes df to the shared folder and reads it from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
