@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import GROUP_BYTES, Words, broadcast_if_small, checkpoint, groups, map_batches, mix, utf8
 
-TREES, MAX_DEPTH, RECALL, MARGIN, BLOCK = 24, 3, 0.95, 0.2, 1024
+TREES, MAX_DEPTH, RECALL, MARGIN, BLOCK = 36, 3, 0.99, 0.2, 1024
 _SEED = 4711
 
 
