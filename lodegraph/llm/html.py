@@ -96,8 +96,8 @@ def _kind(tag: str, attributes: str) -> tuple[str, int]:
             flags |= _IS_HEADER
     if flags & _GOES:
         flags &= ~_IS_MAIN
-    # Numbers in names are per page, not per site.
-    out = tag + "".join("." + re.sub(r"[0-9]+", "0", n) for n in names), flags
+    # Long numbers in names are per page, not per site.
+    out = tag + "".join("." + re.sub(r"[0-9]{2,}", "0", n) for n in names), flags
     if len(cache) > 100_000:
         cache.clear()
     cache[(tag, attributes)] = out
