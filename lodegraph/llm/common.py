@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import types
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are scanned at a time; the scanner needs about 40 bytes of memory for each.
-GROUP_BYTES = 2_000_000
+GROUP_BYTES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,12 +49,34 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("_lodegraph_worker_cache", types.ModuleType("_lodegraph_worker_cache")).__dict__
 
 
+def claim(owner: str) -> None:
+    """Begins an operator's task in this worker: what other operators' tasks have left in its cache goes."""
+    cache = worker_cache()
+    if cache.get("owner") != owner:
+        for k in [k for k in cache if not (isinstance(k, str) and k.startswith("__"))]:
+            del cache[k]
+        cache["owner"] = owner
+        give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, since the worker stays."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps what it likes
+        pass
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | list[pa.RecordBatch]], schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(f.__module__)
         for b in batches:
             if b.num_rows:
                 out = f(b)
                 yield from out if isinstance(out, list) else [out]
+                del b, out
+        give_back()
 
     return df.mapInArrow(run, schema)
 

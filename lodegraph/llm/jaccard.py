@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GROUP_BYTES, Words, broadcast_if_small, checkpoint, groups, map_batches, mix, utf8
+from .common import GROUP_BYTES, Words, broadcast_if_small, checkpoint, claim, groups, map_batches, mix, utf8
 
 TREES, MAX_DEPTH, RECALL, MARGIN, BLOCK = 36, 3, 0.99, 0.2, 1024
 _SEED = 4711
@@ -179,6 +179,7 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int
     )
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(__name__)
         for t in _whole_groups(batches, 0):
             g = t["g"].to_numpy()
             s, e = _runs([g], len(g))
@@ -215,6 +216,7 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int
     full = near_members.join(gram_sets, "id").select("g", "tree", "lo", "hi", "own", "id", "sig", "grams")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(__name__)
         for t in _whole_groups(batches, 0):
             t = t.combine_chunks()
             g, ids = t["g"].to_numpy(), t["id"].to_numpy()
