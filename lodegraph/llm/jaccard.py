@@ -81,8 +81,8 @@ def _signatures(row: np.ndarray, h: np.ndarray, rows: int, hashes: int) -> np.nd
 
 
 def signatures(docs: DataFrame, text_col: str, id_col: str, n: int, trees: int, d: int) -> DataFrame:
-    """id, h (hash of the text), buckets (hash of each tree's prefix; null without words) and sig (a byte of each
-    hash) of each row with an id and a text that isn't empty."""
+    """id, h (hash of the text), buckets (32-bit hash of each tree's prefix; empty without words) and sig (a byte of
+    each hash) of each row with an id and a text that isn't empty."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         data, off = utf8(b.column(2))
@@ -93,8 +93,9 @@ def signatures(docs: DataFrame, text_col: str, id_col: str, n: int, trees: int,
             tree = np.zeros((y - x, trees), np.uint64)
             for k in range(d):
                 tree = mix(tree + s[:, k::d] + np.uint64(k + 1))
-            buckets.append(tree.astype(np.int64))
-            sig.extend(bytes(z) for z in (s >> np.uint32(16)).astype(np.uint8))
+            buckets.append((tree >> np.uint64(32)).astype(np.uint32).view(np.int32))
+            # Minima of long texts are small numbers: their bits are mixed before one byte is taken.
+            sig.extend(bytes(z) for z in ((s * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8))
             valid.append(np.bincount(row, minlength=y - x) > 0)
         size = np.where(np.concatenate(valid), trees, 0)
         flat = np.concatenate(buckets)[np.concatenate(valid)].ravel()
@@ -104,7 +105,7 @@ def signatures(docs: DataFrame, text_col: str, id_col: str, n: int, trees: int,
 
     t = F.col(text_col)
     rows = docs.filter(F.col(id_col).isNotNull() & (F.octet_length(t) > 0)).select(F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(t.cast("binary"))).alias("h"), t.alias("t"))
-    return map_batches(rows, run, "id bigint, h binary, buckets array<bigint>, sig binary")
+    return map_batches(rows, run, "id bigint, h binary, buckets array<int>, sig binary")
 
 
 def _runs(keys: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,24 +137,23 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
-def _plausible(sig: np.ndarray, tree: int, lo: int, hi: int, own: np.ndarray, d: int, least: float) -> Iterator[tuple[int, np.ndarray]]:
-    """For each member of a group, later members that may reach the threshold. sig: 8 bits of each hash. In a group
-    of two blocks only pairs across count; a pair counts in the first tree where it shares a prefix."""
+def _plausible(sig: np.ndarray, buckets: np.ndarray, lo: int, hi: int, own: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For each member of a group, later members that may reach the threshold. sig: 8 bits of each hash; buckets: the
+    buckets by which texts are grouped, of the trees up to the group's. In a group of two blocks only pairs across
+    count; a pair counts in the first tree where it shares a bucket, so in one group only."""
     n, hashes = sig.shape
     need = max(0.0, least - 1 / 256) * hashes
     for i in range(n - 1):
         rest = np.arange(i + 1, n)
         if lo != hi:
             rest = rest[own[i + 1 :] != own[i]]
-        same = sig[rest] == sig[i]
-        agree = same.sum(1)
-        at_tree = same[:, tree * d : tree * d + d].all(1)
-        keep = (agree >= need) & at_tree
-        if tree and keep.any():
-            k = np.flatnonzero(keep)
-            keep[k] = ~same[k][:, : tree * d].reshape(len(k), tree, d).all(2).any(1)
+        keep = (sig[rest] == sig[i]).sum(1) >= need
         if keep.any():
-            yield i, rest[keep]
+            rest = rest[keep]
+            shared = buckets[rest] == buckets[i]
+            rest = rest[shared[:, -1] & ~shared[:, :-1].any(1)]
+            if len(rest):
+                yield i, rest
 
 
 def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int = 3, threshold: float = 0.5, trees: int = TREES, recall: float = RECALL) -> DataFrame:
@@ -167,38 +167,42 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int
     # "first" may take any copy's signature: those of equal texts are equal.
     texts = checkpoint(every.groupBy("h").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n_copies"), F.first("buckets").alias("buckets"), F.first("sig").alias("sig")))
 
-    members = texts.select("id", "sig", F.posexplode("buckets").alias("tree", "bucket"))
-    sizes = members.groupBy("tree", "bucket").count().filter(F.col("count") > BLOCK)
-    hot = sizes.select("tree", "bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    spread = members.join(broadcast_if_small(checkpoint(hot)), ["tree", "bucket"], "left")
+    # Light rows first: only members of buckets with two texts or more get signatures.
+    members = texts.select("id", F.posexplode("buckets").alias("tree", "bucket")).select("id", (F.shiftleft(F.col("tree").cast("long"), 32) + F.col("bucket") + (1 << 31)).alias("k"))
+    sizes = members.groupBy("k").count().filter("count > 1")
+    shared_buckets = checkpoint(sizes.select("k", F.when(F.col("count") > BLOCK, F.ceil(F.col("count") / BLOCK).cast("int")).alias("blocks")))
+    met = members.join(broadcast_if_small(shared_buckets), "k")
     own = F.coalesce(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.lit(0))
-    spread = spread.withColumn("own", own).withColumn("other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    met = met.withColumn("own", own).join(texts.select("id", "sig", "buckets"), "id").withColumn("tree", F.shiftright("k", 32).cast("int"))
+    spread = met.withColumn("other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
     spread = spread.select(
-        F.xxhash64("tree", "bucket", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "tree", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id",
-        "sig",
+        F.xxhash64("k", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "tree", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id",
+        "sig", F.slice("buckets", F.lit(1), F.col("tree") + 1).alias("buckets"),
     )
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim(__name__)
         for t in _whole_groups(batches, 0):
             g = t["g"].to_numpy()
-            s, e = _runs([g], len(g))
+            s, e = _runs([g, t["tree"].to_numpy()], len(g))
             many = np.flatnonzero(e - s > 1)
             if not len(many):
                 continue
             t = t.combine_chunks()
             sig = _plain_bytes(t["sig"], hashes)
-            tree, lo, hi, own = (t[c].to_numpy() for c in ("tree", "lo", "hi", "own"))
+            shared, at = _flat(t["buckets"])
+            lo, hi, own = (t[c].to_numpy() for c in ("lo", "hi", "own"))
             keep = np.zeros(len(g), bool)
             for a, b in zip(s[many].tolist(), e[many].tolist()):
-                for i, rest in _plausible(sig[a:b], int(tree[a]), int(lo[a]), int(hi[a]), own[a:b], d, least):
+                for i, rest in _plausible(sig[a:b], shared[at[a] : at[b]].reshape(b - a, -1), int(lo[a]), int(hi[a]), own[a:b], least):
                     keep[a + i] = True
                     keep[a + rest] = True
             if keep.any():
                 yield from t.filter(pa.array(keep)).to_batches()
 
-    kinds = "g bigint, tree int, lo int, hi int, own int, id bigint, sig binary"
-    near_members = checkpoint(spread.repartition("g").sortWithinPartitions("g").mapInArrow(near, kinds))
+    kinds = "g bigint, tree int, lo int, hi int, own int, id bigint, sig binary, buckets array<int>"
+    # Groups whose hashes are equal by chance are still told apart by tree.
+    near_members = checkpoint(spread.repartition("g").sortWithinPartitions("g", "tree").mapInArrow(near, kinds))
 
     def sets(b: pa.RecordBatch) -> pa.RecordBatch:
         data, off = utf8(b.column(1))
@@ -213,7 +217,7 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int
     wanted = broadcast_if_small(checkpoint(near_members.select("id").distinct()))
     from_text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).join(wanted, "id", "left_semi")
     gram_sets = map_batches(from_text, sets, "id bigint, grams binary").groupBy("id").agg(F.max("grams").alias("grams"))
-    full = near_members.join(gram_sets, "id").select("g", "tree", "lo", "hi", "own", "id", "sig", "grams")
+    full = near_members.join(gram_sets, "id").select("g", "tree", "lo", "hi", "own", "id", "sig", "buckets", "grams")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim(__name__)
@@ -223,6 +227,7 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int
             sig = _plain_bytes(t["sig"], hashes)
             data, off = utf8(t["grams"].combine_chunks() if isinstance(t["grams"], pa.ChunkedArray) else t["grams"])
             grams = [data[i:j].view(np.uint64) for i, j in zip(off[:-1].tolist(), off[1:].tolist())]
+            shared, at_bucket = _flat(t["buckets"])
             tree, lo, hi, own = (t[c].to_numpy() for c in ("tree", "lo", "hi", "own"))
             links, root = np.zeros(len(g), np.int64), np.arange(len(g))
 
@@ -232,8 +237,8 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int
                     i = int(root[i])
                 return i
 
-            for a, b in zip(*(x.tolist() for x in _runs([g], len(g)))):
-                for i, rest in _plausible(sig[a:b], int(tree[a]), int(lo[a]), int(hi[a]), own[a:b], d, least):
+            for a, b in zip(*(x.tolist() for x in _runs([g, tree], len(g)))):
+                for i, rest in _plausible(sig[a:b], shared[at_bucket[a] : at_bucket[b]].reshape(b - a, -1), int(lo[a]), int(hi[a]), own[a:b], least):
                     mine = grams[a + i]
                     for part in np.array_split(rest, max(1, len(rest) * len(mine) * 8 // GROUP_BYTES)):
                         theirs = [grams[a + j] for j in part.tolist()]
@@ -253,7 +258,7 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int
                 top = np.array([find(int(i)) for i in on])
                 yield pa.RecordBatch.from_pydict({"id": pa.array(ids[on]), "root": pa.array(ids[top]), "n": pa.array(links[on])})
 
-    linked = checkpoint(full.repartition("g").sortWithinPartitions("g").mapInArrow(verify, "id bigint, root bigint, n bigint"))
+    linked = checkpoint(full.repartition("g").sortWithinPartitions("g", "tree").mapInArrow(verify, "id bigint, root bigint, n bigint"))
     counts = linked.groupBy("id").agg(F.sum("n").alias("n_links"))
     classes = components(linked.filter("id != root").select(F.col("id").alias("a"), F.col("root").alias("b")))
 
@@ -278,6 +283,12 @@ def _plain_bytes(column, width: int) -> np.ndarray:
     return data[off[0] : off[-1]].reshape(-1, width)
 
 
+def _flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a column of arrays, and n+1 offsets into them."""
+    x = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return x.values.to_numpy(), x.offsets.to_numpy()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """id and class_id (least id of its component) of all ends of the edges. Each round links every node's
     neighbours to the least of them, large side then small side, until nothing changes; components then are stars."""

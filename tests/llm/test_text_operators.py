@@ -137,6 +137,26 @@ def test_jaccard_meets_brute_force(spark):
     assert sum(got[i] == got[j] for i, j in links) >= 0.98 * len(links)
 
 
+def test_jaccard_links_long_texts(spark):
+    rng = random.Random(11)
+    docs, size = [], 24_000
+    for _ in range(8):
+        w = [f"w{rng.randrange(1 << 30)}" for _ in range(size)]
+        docs.append(" ".join(w))
+        for k in range(2):
+            docs.append(" ".join(w[: size - 1500 * (k + 1)] + [f"v{rng.randrange(1 << 30)}" for _ in range(2000)]))
+    out = jaccard.join(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()
+    assert len(out) == 24 and all(r.class_id == r.doc_id // 3 * 3 and r.n_links == 2 for r in out)
+
+
+def test_jaccard_first_shared_tree_is_that_of_the_buckets():
+    sig = np.zeros((2, 9), np.uint8)
+    own = np.zeros(2, np.int64)
+    meets = lambda buckets: list(jaccard._plausible(sig, np.array(buckets, np.int32), 0, 0, own, 0.3))
+    assert [(i, r.tolist()) for i, r in meets([[1, 2, 3], [4, 5, 3]])] == [(0, [1])]
+    assert not meets([[1, 2, 3], [4, 2, 3]]) and not meets([[1, 2, 3], [1, 2, 4]])
+
+
 def luhn(d):
     return sum((x * 2 - 9 if x > 4 else x * 2) if i % 2 else x for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
 
