@@ -1,19 +1,20 @@
 """Personal data: pattern matches, and terms that give protected values away. DataFrame operations only.
 
 Base spans, leftmost and non-overlapping for each kind: email, ip (parts at most 255), card (12 to 19 digits that
-pass the Luhn test), phone (9 to 15 digits). Their values are protected. Around each, within CONTEXT characters,
-terms (words of four letters or more, lower-cased) are counted over the whole corpus: n(t, v) documents where term t
-is near value v, n(t) documents with t, n(v) with v, N in all. Disclosure is the pointwise mutual information of t
-and v over the information of v: ln(N n(t, v) / (n(t) n(v))) / ln(N / n(v)); it is 1 if t occurs with v alone. A term
-near a value in SUPPORT documents or more whose disclosure is at least DISCLOSURE is a span of kind "term" in every
-document that holds the value.
+pass the Luhn test), phone (9 to 15 digits). Their values are protected. Terms (words of four letters or more,
+lower-cased) are counted over whole documents: n(t, v) documents that hold term t and value v, n(t) documents with
+t, n(v) with v, N in all. Disclosure is the pointwise mutual information of t and v over the information of v:
+ln(P(v|t) / P(v)) / ln(1 / P(v)), with P(v) = n(v) / N and P(v|t) smoothed by PRIOR documents in which v is as
+frequent as in all: (n(t, v) + PRIOR P(v)) / (n(t) + PRIOR). It nears 1 if t occurs with v alone, the more often the
+nearer. A term whose disclosure of any value is at least DISCLOSURE is a span of kind "term" wherever it occurs.
 
 Null and empty texts have no spans. Repeated rows count as documents each and get equal results; ids may be null;
 other columns do not matter; an empty table gives an empty result. Places count code points, ends are exclusive.
 
-Scale: patterns are possessive or anchored, so that matching takes linear time and no deep stack. Texts are never
-shuffled but for those with spans; the corpus is counted with partial aggregation, by a semi-join to the candidate
-terms that is broadcast only if they are few.
+Scale: patterns are possessive or anchored, so that matching takes linear time and no deep stack. Terms of the whole
+corpus are counted with partial aggregation. Pairs are made only of terms whose documents hold values often enough
+for the threshold to be reached by some value. Terms found are broadcast as hashes if at most a million, else all
+terms are shuffled with their texts' hashes. Texts are shuffled only if over 100,000 distinct ones hold found terms.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, checkpoint
 
 KINDS = ["email", "ip", "card", "phone", "term"]
-CONTEXT, SUPPORT, DISCLOSURE = 120, 3, 0.9
+PRIOR, DISCLOSURE = 1.0, 0.9
 
 PATTERNS = {
     # A run of name characters is entered at its start, or where the last match ended.
@@ -75,8 +76,9 @@ _MAY = {
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
-def _places(text: Column, pattern: str, kind: int) -> Column:
-    """All matches with their places: the parts between matches and the matches add up to the text."""
+def _places(text: Column, pattern: str, kind: int, only: Column | None = None) -> Column:
+    """All matches with their places, or those whose lower-cased values are in the array only: the parts between
+    matches and the matches add up to the text."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
@@ -84,7 +86,10 @@ def _places(text: Column, pattern: str, kind: int) -> Column:
     def step(acc: Column, x: Column) -> Column:
         a = acc["at"] + F.length(x["gap"])
         b = a + F.length(x["m"])
-        return F.struct(b.alias("at"), F.concat(acc["spans"], F.array(F.struct(a.alias("start"), F.lit(kind).alias("kind"), b.alias("end"), x["m"].alias("value")))).alias("spans"))
+        more = F.concat(acc["spans"], F.array(F.struct(a.alias("start"), F.lit(kind).alias("kind"), b.alias("end"), x["m"].alias("value"))))
+        if only is not None:
+            more = F.when(F.array_contains(only, F.lower(x["m"])), more).otherwise(acc["spans"])
+        return F.struct(b.alias("at"), more.alias("spans"))
 
     pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("m")))
     return F.aggregate(pairs, start, step, lambda acc: acc["spans"])
@@ -100,47 +105,49 @@ def base_spans(text: Column) -> Column:
     return F.coalesce(F.array_sort(F.concat(*parts)), none)
 
 
-def revealing(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> tuple[DataFrame, DataFrame]:
-    """Texts with base spans (a checkpoint: key, text, base), and value, term for terms that give values away."""
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0)))
+
+
+def revealing(docs: DataFrame, text_col: str = "text", prior: float = PRIOR, disclosure: float = DISCLOSURE) -> DataFrame:
+    """The terms that give values away, as a checkpoint."""
     t = F.col(text_col)
     held = docs.select(t.alias("text"), base_spans(t).alias("base")).filter(F.size("base") > 0)
-    held = checkpoint(held.select(F.md5(F.col("text").cast("binary")).alias("key"), "text", "base"))
-    near = lambda s: F.concat(F.substring(F.col("text"), F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(F.lit(CONTEXT), s["start"])), F.lit(" "), F.substring(F.col("text"), s["end"] + 1, F.lit(CONTEXT)))
-    terms = lambda x: F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit(_TERM), F.lit(0)))
-    pairs = F.flatten(F.transform("base", lambda s: F.transform(terms(near(s)), lambda w: F.struct(F.lower(s["value"]).alias("value"), w.alias("term")))))
-    together = held.select(F.explode(F.array_distinct(pairs)).alias("x")).groupBy("x.value", "x.term").agg(F.count(F.lit(1)).alias("n_tv")).filter(F.col("n_tv") >= support)
-    together = checkpoint(together)
-    values = held.select(F.explode(F.array_distinct(F.transform("base", lambda s: F.lower(s["value"])))).alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n_v"))
-    wanted = checkpoint(together.select("term").distinct())
-    words = docs.select(F.explode(terms(t)).alias("term"))
-    in_all = words.join(broadcast_if_small(wanted), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    held = checkpoint(held.select(F.array_distinct(F.transform("base", lambda s: F.lower(s["value"]))).alias("values"), _terms(F.col("text")).alias("terms")))
+    values = held.select(F.explode("values").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n_v"))
+    with_any = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_held"))
+    in_all = docs.select(F.explode(_terms(t)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     n = docs.count()
-    share = F.log(F.lit(float(n)) * F.col("n_tv") / (F.col("n_t") * F.col("n_v"))) / F.log(F.lit(float(n)) / F.col("n_v"))
+    # P(v|t) has to be P(v) to the power of 1 - disclosure at least, hence this power of 1 / N whatever the value.
+    most = (F.col("n_held") + prior) / (F.col("n_t") + prior)
+    able = checkpoint(in_all.join(with_any, "term").filter(most >= (1 - 1e-9) * float(max(n, 1)) ** (disclosure - 1)).select("term", "n_t"))
+    pairs = held.select(F.explode("terms").alias("term"), "values").join(broadcast_if_small(able, 100_000), "term")
+    together = pairs.select("term", "n_t", F.explode("values").alias("value")).groupBy("term", "n_t", "value").agg(F.count(F.lit(1)).alias("n_tv"))
+    p = F.col("n_v") / F.lit(float(max(n, 1)))
+    given = (F.col("n_tv") + F.lit(prior) * p) / (F.col("n_t") + prior)
     # A value in every document says nothing that a term could give away.
-    found = together.join(values, "value").join(in_all, "term").filter((F.col("n_v") < n) & (share >= disclosure))
-    return held, checkpoint(found.select("value", "term"))
+    found = together.join(values, "value").filter((F.col("n_v") < n) & (F.log(given / p) >= -F.lit(disclosure) * F.log(p)))
+    return checkpoint(found.select("term").distinct())
 
 
 def spans(docs: DataFrame, text_col: str = "text", **kinds) -> DataFrame:
     """docs with the column __spans: array of (start, kind, end), base spans and terms, in order."""
-    held, found = revealing(docs, text_col, **kinds)
-    holders = held.select("key", F.explode(F.array_distinct(F.transform("base", lambda s: F.lower(s["value"])))).alias("value")).distinct()
-    sets = checkpoint(holders.join(broadcast_if_small(found), "value").groupBy("key").agg(F.collect_set("term").alias("__terms")).withColumnRenamed("key", "__key"))
+    found = revealing(docs, text_col, **kinds)
     t = F.col(text_col)
-    base = base_spans(t)
-    out = docs.withColumn("__base", base)
     none = F.array().cast("array<string>")
-    if sets.isEmpty():
-        out = out.withColumn("__terms", none)
+    if found.isEmpty():
+        out = docs.withColumn("__terms", none)
     else:
-        # Only texts with base spans can have a key; the others are spread so that they don't meet in one task.
-        key = F.when(F.size("__base") > 0, F.md5(t.cast("binary"))).otherwise(F.concat(F.lit("-"), F.rand(7).cast("string")))
-        small = broadcast_if_small(sets, 100_000)
-        out = out.withColumn("__key", key).join(small, "__key", "left").drop("__key").withColumn("__terms", F.coalesce("__terms", none))
-    words = F.filter(_places(t, _TERM, KINDS.index("term")), lambda s: F.array_contains(F.col("__terms"), F.lower(s["value"])))
+        hashes = checkpoint(found.select(F.xxhash64("term").alias("h")).distinct())
+        words = docs.select(F.xxhash64(t).alias("__key"), F.explode(_terms(t)).alias("term")).withColumn("h", F.xxhash64("term"))
+        # Texts of equal hashes share their terms, which are to be masked in either.
+        hits = words.join(broadcast_if_small(hashes), "h", "left_semi").join(found, "term", "left_semi")
+        sets = checkpoint(hits.groupBy("__key").agg(F.collect_set("term").alias("__terms")))
+        out = docs.withColumn("__key", F.xxhash64(t)).join(broadcast_if_small(sets, 100_000), "__key", "left").drop("__key").withColumn("__terms", F.coalesce("__terms", none))
+    words = _places(t, _TERM, KINDS.index("term"), F.col("__terms"))
     extra = F.when(F.size("__terms") > 0, words).otherwise(F.array().cast(_SPAN))
-    plain = F.transform(F.array_sort(F.concat("__base", extra)), lambda s: F.struct(s["start"], s["kind"], s["end"]))
-    return out.withColumn("__spans", plain).drop("__base", "__terms")
+    plain = F.transform(F.array_sort(F.concat(base_spans(t), extra)), lambda s: F.struct(s["start"], s["kind"], s["end"]))
+    return out.withColumn("__spans", plain).drop("__terms")
 
 
 def joined(some: Column) -> Column:

@@ -192,6 +192,19 @@ def test_pii_terms_that_reveal(spark):
     assert pii.report(docs.limit(0)).count() == 0
 
 
+def test_pii_terms_of_rare_values_in_whole_documents(spark):
+    far = " ".join(["today we write"] * 20)
+    rows = [(0, f"Write to boss@firm.example today. {far} about Zanzibar"), (1, f"today we write about Zanzibar {far}"), (2, f"we +49 123 4567 8901 today, {far} Quillon write about"), (3, "Boss@firm.example: Zanzibar")]
+    rows += [(10 + i, "today we write about nothing") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert got[0] == f"Write to <EMAIL> today. {far} about <TERM>" and got[1] == f"today we write about <TERM> {far}"
+    assert got[2] == f"we <PHONE> today, {far} <TERM> write about" and got[10] == rows[-1][1]
+    # A term that mostly occurs without the value stays.
+    often = docs.union(spark.createDataFrame([(100_000 + i, "Zanzibar") for i in range(8)], docs.schema))
+    assert {r.text for r in pii.sanitise(often).filter("doc_id >= 100000").collect()} == {"Zanzibar"}
+
+
 def test_token_counts_are_the_library_s(spark, odd_docs):
     lib = pytest.importorskip("tokenizers").Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     extra = spark.createDataFrame([(900, "<|endoftext|>", ""), (901, "a<|endoftext|> b<|endo", "")], odd_docs.schema)
