@@ -149,12 +149,40 @@ def test_jaccard_links_long_texts(spark):
     assert len(out) == 24 and all(r.class_id == r.doc_id // 3 * 3 and r.n_links == 2 for r in out)
 
 
-def test_jaccard_first_shared_tree_is_that_of_the_buckets():
-    sig = np.zeros((2, 9), np.uint8)
-    own = np.zeros(2, np.int64)
-    meets = lambda buckets: list(jaccard._plausible(sig, np.array(buckets, np.int32), 0, 0, own, 0.3))
-    assert [(i, r.tolist()) for i, r in meets([[1, 2, 3], [4, 5, 3]])] == [(0, [1])]
-    assert not meets([[1, 2, 3], [4, 2, 3]]) and not meets([[1, 2, 3], [1, 2, 4]])
+def test_jaccard_shortens_only_prefixes_that_hold_several_labels(spark, monkeypatch):
+    """Copies that meet at long prefixes are not looked at below short ones; texts that only meet there are."""
+    assert jaccard.depth(0.5) == 3 and jaccard.depth(0.9) == jaccard.MAX_DEPTH and jaccard.depth(0.5, recall=0.8) == 4
+    rng = random.Random(21)
+    sig = lambda: bytes(rng.randrange(256) for _ in range(6))
+    one = sig()
+    # Two trees of three hashes. Texts 0 and 1 share a long prefix; 2 shares a short one with both; 3 and 4 only a
+    # short one with each other, by chance.
+    rows = [(0, [7, 8], one), (1, [7, 8], one), (2, [7, 9], one), (3, [5, 1], sig()), (4, [5, 2], sig()), (5, [3, 4], one)]
+    texts = spark.createDataFrame([(t, n, bytearray(s)) for t, n, s in rows], "t long, nodes array<long>, sig binary")
+    seen = []
+    real = jaccard._spread
+
+    def spy(df, key):
+        if key == "k":
+            seen.extend((r.k, r.t) for r in df.collect())
+        return real(df, key)
+
+    monkeypatch.setattr(jaccard, "_spread", spy)
+    got = {(r.a, r.b) for r in jaccard.candidates(texts, 2, 3, 6, 0.5).collect()}
+    assert got == {(0, 1), (0, 2)}
+    # Node 8 holds one label only and stays at its long prefix; nodes 7 and 5 are shortened.
+    assert sorted(seen) == [(5, 3), (5, 4), (7, 0), (7, 1), (7, 2)]
+
+
+def test_jaccard_one_id_with_several_texts(spark):
+    rng = random.Random(12)
+    text = lambda: " ".join(f"w{rng.randrange(9999)}" for _ in range(50))
+    a, b = text(), text()
+    rows = [(1, a), (2, a + " more"), (3, b), (3, a), (4, b + " more"), (3, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted((r.doc_id, r.text_class, r.class_id, r.n_links, r.n_copies) for r in jaccard.join(docs).collect())
+    assert out == [(1, 1, 1, 1, 3), (2, 2, 1, 1, 1), (3, 1, 1, 1, 3), (3, 1, 1, 1, 3), (3, 3, 3, 1, 1), (4, 4, 3, 1, 1)]
+    assert sorted((r.doc_id, r.text) for r in jaccard.keep_one(docs).collect()) == [(1, a), (3, b)]
 
 
 def luhn(d):
