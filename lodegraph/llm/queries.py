@@ -62,6 +62,14 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages, labelled, URL_RULES)
 
 
+def url_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op8 has of host and path rules alone; SQL can express that."""
+    u = F.col("url")
+    h, p = urlfilter.host(u), urlfilter.path(u)
+    name, verdict = urlfilter.rule(h, p, URL_RULES)
+    return table(spark, sf_dir, "pages").select("page_id", h.alias("host"), p.alias("path"), name.alias("rule"), verdict.alias("rule_verdict"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -71,7 +79,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_html, op3_quality, op4_sharding, op5_jaccard_join, op6_token_counts, op7_topk, op8_url_filter, op9_pii, op10_byte_bpe)
+    f.__name__: f for f in (op1_decontamination, op2_html, op3_quality, op4_sharding, op5_jaccard_join, op6_token_counts, op7_topk, op8_url_filter, url_host_rules, op9_pii, op10_byte_bpe)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -93,6 +101,12 @@ WITH v AS (SELECT vec_id, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum([a[1] * a[2] FOR a IN list_transform(range(1, len(q.e) + 1), lambda i: [q.e[i], c.e[i]])])::BIGINT AS score
       FROM v q, v c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20""",
+    "url_host_rules": r"""
+WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^[\s\S]*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                  regexp_extract(coalesce(url, ''), '^[\s\S]*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r(v, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/'))
+SELECT page_id, host, path, m.h || m.p AS rule, m.v AS rule_verdict
+FROM (SELECT u.*, (SELECT max_by({'v': v, 'h': h, 'p': p}, length(h || p)) FROM r WHERE (u.host = h OR ends_with(u.host, '.' || h)) AND starts_with(u.path, p)) AS m FROM u)""",
     # No CRC function in SQL: the checksum is worked out bit by bit.
     "op4_sharding": """
 WITH t AS (SELECT i, list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i::BIGINT) AS c FROM range(0, 256) r(i)),

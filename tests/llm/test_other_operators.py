@@ -96,5 +96,58 @@ def test_url_rules_and_mined_rules(spark):
     assert none == 2
     assert urlfilter.judge(pages.limit(0), labelled, RULES).count() == 0
     mined = urlfilter.mine(labelled)
-    a = {r["url"]: r["__blocked"] for r in urlfilter.blocked(pages.select("url"), mined, "url").collect()}
-    assert a == {r["url"]: r["__blocked"] for r in urlfilter.blocked(pages.select("url"), mined, "url", most=0).collect()}
+    hits = lambda df: {r[0]: r.hit for r in df.collect()}
+    assert hits(urlfilter.blocked(pages.select("url"), mined, "url")) == hits(urlfilter.blocked(pages.select("url"), mined, "url", most=0))
+
+
+def mined_by_brute_force(rows, floor, confidence, alpha, support=urlfilter.SUPPORT):
+    import itertools
+    import math
+
+    total, bad = len(rows), sum(b for _, b in rows)
+    common = set.intersection(*(set(t) for t, _ in rows))
+    n, c = {}, {}
+    for t, b in rows:
+        some = sorted(set(t) - common)
+        for k in range(len(some) + 1):
+            for x in itertools.combinations(some, k):
+                n[x] = n.get(x, 0) + 1
+                c[x] = c.get(x, 0) + b
+    least = max(floor * confidence, support * total * confidence, 1)
+    tested = [x for x in n if c[x] >= least - 1e-9]
+    p, out = bad / total, {}
+    for x in tested:
+        q = c[x] / n[x]
+        if x and q >= confidence and n[x] >= max(floor, support * total) and q > p:
+            gap = q * math.log(q / p) + ((1 - q) * math.log((1 - q) / (1 - p)) if q < 1 else 0)
+            if n[x] * gap >= math.log(len(tested) / alpha):
+                out[x] = (n[x], c[x])
+    return out
+
+
+def test_mined_url_rules_are_all_itemsets_that_qualify(spark):
+    rng = random.Random(8)
+    rows = []
+    for _ in range(300):
+        u = f"http://{rng.choice(['a', 'b', 'ads'])}.{rng.choice(['org', 'info'])}/{rng.choice(['x', 'win', 'y'])}/{rng.randrange(99)}" + rng.choice(["", "?id=1"])
+        p = 0.9 if "ads" in u and "win" in u else 0.8 if "info/y" in u and "?" in u else 0.1
+        rows.append((u, rng.random() < p))
+    df = spark.createDataFrame(rows, "url string, bad boolean")
+    some = [(sorted(r[0]), int(r[1])) for r in df.select(urlfilter.tokens(df.url), "bad").collect()]
+    for alpha in (0.01, 1e-9):
+        got = {tuple(r.tokens): (r.n, r.n_bad) for r in urlfilter.mine(df, alpha=alpha).collect()}
+        assert got == mined_by_brute_force(some, urlfilter.FLOOR, urlfilter.CONFIDENCE, alpha)
+    assert ("host=ads", "path=win") in got
+
+
+def test_no_url_rule_from_few_rows_or_from_chance(spark):
+    rng = random.Random(4)
+    few = [(f"http://h{i}.org/p{i}", i % 7 == 0) for i in range(86)]
+    assert urlfilter.mine(spark.createDataFrame(few, "url string, bad boolean")).count() == 0
+    noise = [(f"http://h{rng.randrange(30)}.org/p{rng.randrange(30)}/k{rng.randrange(5)}", rng.random() < 0.3) for _ in range(2000)]
+    assert urlfilter.mine(spark.createDataFrame(noise, "url string, bad boolean")).count() == 0
+    for bad in (True, False):
+        same = spark.createDataFrame([(u, bad) for u, _ in few], "url string, bad boolean")
+        assert urlfilter.mine(same).count() == 0
+    odd = spark.createDataFrame([(None, True), ("", False), ("http://" + "a/" * 5000, True)] * 20, "url string, bad boolean")
+    assert urlfilter.mine(odd, support=0.9).count() == 0
