@@ -22,12 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares for checkpoints. One of our own is made only where the session names
-    none, as in tests."""
+    """The folder that the cluster shares for checkpoints. One of our own is made only where the session names none
+    and all of it runs in this process; on a cluster a machine's own folder would lose data, so that is an error."""
     sc = spark.sparkContext
     have = sc._jsc.sc().getCheckpointDir()
     if not have.isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the cluster shares")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
         have = sc._jsc.sc().getCheckpointDir()
     return have.get()
 
@@ -38,10 +41,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """df, to be broadcast in a join if it has at most so many rows; they should be a few numbers each. Beyond that
-    the join shuffles. df should be a checkpoint or a table, since its rows are counted."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame, rows: int = 1_000_000, size: int = 64_000_000) -> bool:
+    """Whether df has at most so many rows, and so many bytes in strings and arrays of strings; its other columns
+    should be numbers. df should be a checkpoint or a table, since its rows are counted."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    each = [F.octet_length(c) for c, k in kinds.items() if k in ("string", "binary")]
+    each += [F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x)) for c, k in kinds.items() if k == "array<string>"]
+    n, held = df.agg(F.count(F.lit(1)), F.sum(sum((F.coalesce(x, F.lit(0)) for x in each), F.lit(0)))).first()
+    return n <= rows and (held or 0) <= size
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 1_000_000, size: int = 64_000_000) -> DataFrame:
+    """df, to be broadcast in a join if it is small; beyond that the join shuffles."""
+    return F.broadcast(df) if small(df, rows, size) else df
 
 
 def worker_cache() -> dict:

@@ -9,12 +9,13 @@ frequent as in all: (n(t, v) + PRIOR P(v)) / (n(t) + PRIOR). It nears 1 if t occ
 nearer. A term whose disclosure of any value is at least DISCLOSURE is a span of kind "term" wherever it occurs.
 
 Null and empty texts have no spans. Repeated rows count as documents each and get equal results; ids may be null;
-other columns do not matter; an empty table gives an empty result. Places count code points, ends are exclusive.
+other columns do not matter, whatever their names; an empty table gives an empty result. Places count code points,
+ends are exclusive.
 
 Scale: patterns are possessive or anchored, so that matching takes linear time and no deep stack. Terms of the whole
 corpus are counted with partial aggregation. Pairs are made only of terms whose documents hold values often enough
-for the threshold to be reached by some value. Terms found are broadcast as hashes if at most a million, else all
-terms are shuffled with their texts' hashes. Texts are shuffled only if over 100,000 distinct ones hold found terms.
+for the threshold to be reached by some value. What is broadcast is counted first, in rows and in bytes, and joined
+by a shuffle if larger; then texts that are repeated over HOT times are joined in SALTS parts.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, checkpoint
+from .common import broadcast_if_small, checkpoint, small
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 PRIOR, DISCLOSURE = 1.0, 0.9
+HOT, SALTS = 1000, 16
 
 PATTERNS = {
     # A run of name characters is entered at its start, or where the last match ended.
@@ -121,7 +123,7 @@ def revealing(docs: DataFrame, text_col: str = "text", prior: float = PRIOR, dis
     # P(v|t) has to be P(v) to the power of 1 - disclosure at least, hence this power of 1 / N whatever the value.
     most = (F.col("n_held") + prior) / (F.col("n_t") + prior)
     able = checkpoint(in_all.join(with_any, "term").filter(most >= (1 - 1e-9) * float(max(n, 1)) ** (disclosure - 1)).select("term", "n_t"))
-    pairs = held.select(F.explode("terms").alias("term"), "values").join(broadcast_if_small(able, 100_000), "term")
+    pairs = held.select(F.explode("terms").alias("term"), "values").join(broadcast_if_small(able), "term")
     together = pairs.select("term", "n_t", F.explode("values").alias("value")).groupBy("term", "n_t", "value").agg(F.count(F.lit(1)).alias("n_tv"))
     p = F.col("n_v") / F.lit(float(max(n, 1)))
     given = (F.col("n_tv") + F.lit(prior) * p) / (F.col("n_t") + prior)
@@ -131,7 +133,8 @@ def revealing(docs: DataFrame, text_col: str = "text", prior: float = PRIOR, dis
 
 
 def spans(docs: DataFrame, text_col: str = "text", **kinds) -> DataFrame:
-    """docs with the column __spans: array of (start, kind, end), base spans and terms, in order."""
+    """docs with the column __spans: array of (start, kind, end), base spans and terms, in order. The columns of docs
+    should not begin with two underscores; report and sanitise see to that."""
     found = revealing(docs, text_col, **kinds)
     t = F.col(text_col)
     none = F.array().cast("array<string>")
@@ -142,8 +145,19 @@ def spans(docs: DataFrame, text_col: str = "text", **kinds) -> DataFrame:
         words = docs.select(F.xxhash64(t).alias("__key"), F.explode(_terms(t)).alias("term")).withColumn("h", F.xxhash64("term"))
         # Texts of equal hashes share their terms, which are to be masked in either.
         hits = words.join(broadcast_if_small(hashes), "h", "left_semi").join(found, "term", "left_semi")
-        sets = checkpoint(hits.groupBy("__key").agg(F.collect_set("term").alias("__terms")))
-        out = docs.withColumn("__key", F.xxhash64(t)).join(broadcast_if_small(sets, 100_000), "__key", "left").drop("__key").withColumn("__terms", F.coalesce("__terms", none))
+        each = hits.groupBy("__key", "term").agg(F.count(F.lit(1)).alias("n"))
+        sets = checkpoint(each.groupBy("__key").agg(F.collect_list("term").alias("__terms"), F.max("n").alias("n")))
+        keyed = docs.withColumn("__key", F.xxhash64(t))
+        if small(sets, 100_000):
+            out = keyed.join(F.broadcast(sets.drop("n")), "__key", "left")
+        else:
+            # A hot text fills over HOT rows, so a million of them come with a billion rows.
+            hot = checkpoint(sets.filter(F.col("n") > HOT).select("__key", F.lit(True).alias("__hot")))
+            salt = F.when(F.col("__hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).otherwise(-1)
+            keyed = keyed.join(broadcast_if_small(hot), "__key", "left").withColumn("__salt", salt).drop("__hot")
+            parts = F.when(F.col("n") > HOT, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1)))
+            out = keyed.join(sets.select("__key", "__terms", F.explode(parts).alias("__salt")), ["__key", "__salt"], "left").drop("__salt")
+        out = out.drop("__key").withColumn("__terms", F.coalesce("__terms", none))
     words = _places(t, _TERM, KINDS.index("term"), F.col("__terms"))
     extra = F.when(F.size("__terms") > 0, words).otherwise(F.array().cast(_SPAN))
     plain = F.transform(F.array_sort(F.concat(base_spans(t), extra)), lambda s: F.struct(s["start"], s["kind"], s["end"]))
@@ -165,19 +179,25 @@ def report(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **ki
     return found.select(F.col("i").alias(id_col), *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(some).alias("spans"))
 
 
-def sanitise(docs: DataFrame, text_col: str = "text", **kinds) -> DataFrame:
-    """docs with the same columns; base spans become <EMAIL>, <IP>, <CARD>, <PHONE>, revealing terms <TERM>. Spans
-    that overlap become one, by the first one's kind."""
+def sanitise(docs: DataFrame, text_col: str = "text", terms: str = "generalise", **kinds) -> DataFrame:
+    """docs with the same columns; base spans become <EMAIL>, <IP>, <CARD>, <PHONE>. Revealing terms are generalised
+    to their class, <NAME> for those with a capital first and <TERM> for others, of which so many occur that they give
+    no value away; or removed, with terms="remove". Spans that overlap become one, by the first one's kind."""
+    if terms not in ("generalise", "remove"):
+        raise ValueError(f"terms {terms!r} is neither generalise nor remove")
     names = docs.columns
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
     text = f"c{names.index(text_col)}"
     found = spans(plain, text, **kinds)
-    marks = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
+    marks = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS[:-1]))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"])
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(gap, F.element_at(marks, s["kind"] + 1)))).otherwise(acc["out"])
+        first = F.substring(F.col(text), s["start"] + 1, F.lit(1))
+        general = F.when(first != F.lower(first), "<NAME>").otherwise("<TERM>") if terms == "generalise" else F.lit("")
+        mark = F.when(s["kind"] < len(KINDS) - 1, F.get(marks, s["kind"])).otherwise(general)
+        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(gap, mark))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
     clean = F.aggregate("__spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col(text), acc["at"] + 1, F.length(F.col(text)))))

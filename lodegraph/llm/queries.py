@@ -74,15 +74,40 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def pii_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op9 has of the patterns alone; SQL can express that."""
+    t = F.col("text")
+    spans = pii.base_spans(t)
+    counts = [F.size(F.filter(spans, pii._of_kind(k))).cast("long").alias(f"n_{pii.KINDS[k]}") for k in range(4)]
+    return table(spark, sf_dir, "documents").select("doc_id", *counts, F.sha2(pii.joined(spans).cast("binary"), 256).alias("base_sha256"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_html, op3_quality, op4_sharding, op5_jaccard_join, op6_token_counts, op7_topk, op8_url_filter, url_host_rules, op9_pii, op10_byte_bpe)
+    f.__name__: f for f in (op1_decontamination, op2_html, op3_quality, op4_sharding, op5_jaccard_join, op6_token_counts, op7_topk, op8_url_filter, url_host_rules, op9_pii, pii_patterns, op10_byte_bpe)
 }
 
+def _sql_pii() -> str:
+    """Places of matches from the gaps between them: matches and gaps in turn add up to the text."""
+    kinds = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"), ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "len([x FOR x IN string_split(v, '.') IF coalesce(try_cast(x AS UBIGINT), 256) > 255]) = 0")]
+    digits = "regexp_replace(v, '[^0-9]', '', 'g')"
+    each = f"[CASE WHEN (length({digits}) - i) % 2 = 0 THEN {digits}[i]::INTEGER WHEN {digits}[i]::INTEGER > 4 THEN {digits}[i]::INTEGER * 2 - 9 ELSE {digits}[i]::INTEGER * 2 END FOR i IN range(1, length({digits}) + 1)]"
+    kinds += [("card", r"[0-9](?:[\x20-]?[0-9])+", f"length({digits}) BETWEEN 12 AND 19 AND list_sum({each}) % 10 = 0"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({digits}) BETWEEN 9 AND 15")]
+    parts = []
+    for k, (name, p, ok) in enumerate(kinds):
+        parts.append(f"""SELECT doc_id, {k} AS k, '{name}' AS kind, v, before + sum(gap + length(v)) OVER (PARTITION BY doc_id ORDER BY i) - length(v) AS a, {ok} AS ok FROM (
+          SELECT doc_id, i, m[i] AS v, length(g[i]) AS gap, 0 AS before FROM (
+            SELECT doc_id, m, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{p}') AS m, regexp_split_to_array(t, '{p}') AS g FROM d)))""")
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS ({' UNION ALL '.join(parts)}),
+p AS (SELECT doc_id, {', '.join(f"count(*) FILTER (k = {k}) AS n_{n}" for k, (n, _, _) in enumerate(kinds))}, string_agg(kind || ':' || a::BIGINT || ':' || (a + length(v))::BIGINT, ',' ORDER BY a, k) AS s FROM s WHERE ok GROUP BY doc_id)
+SELECT doc_id, {', '.join(f"coalesce(n_{n}, 0)::BIGINT AS n_{n}" for n, _, _ in kinds)}, sha256(coalesce(s, '')) AS base_sha256 FROM d LEFT JOIN p USING (doc_id)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "pii_patterns": _sql_pii(),
     "op1_decontamination": r"""
 WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 bw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),

@@ -216,7 +216,7 @@ def test_pii_terms_that_reveal(spark):
     got = {r.doc_id: r.spans for r in pii.report(docs).collect()}
     assert got[0] == "email:9:26,term:33:41" and not got[11]
     clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
-    assert clean[1] == "Write to <EMAIL> about <TERM> today, number 1" and clean[12] == rows[6][1]
+    assert clean[1] == "Write to <EMAIL> about <NAME> today, number 1" and clean[12] == rows[6][1]
     assert pii.report(docs.limit(0)).count() == 0
 
 
@@ -226,13 +226,75 @@ def test_pii_terms_of_rare_values_in_whole_documents(spark):
     rows += [(10 + i, "today we write about nothing") for i in range(4000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
-    assert got[0] == f"Write to <EMAIL> today. {far} about <TERM>" and got[1] == f"today we write about <TERM> {far}"
-    assert got[2] == f"we <PHONE> today, {far} <TERM> write about" and got[10] == rows[-1][1]
+    assert got[0] == f"Write to <EMAIL> today. {far} about <NAME>" and got[1] == f"today we write about <NAME> {far}"
+    assert got[2] == f"we <PHONE> today, {far} <NAME> write about" and got[10] == rows[-1][1]
     # A term that mostly occurs without the value stays.
     often = docs.union(spark.createDataFrame([(100_000 + i, "Zanzibar") for i in range(8)], docs.schema))
     assert {r.text for r in pii.sanitise(often).filter("doc_id >= 100000").collect()} == {"Zanzibar"}
 
 
+def terms_by_brute_force(rows, prior, disclosure):
+    """(term, value) pairs whose smoothed pointwise mutual information is enough of the value's own information."""
+    import math
+
+    held, n_t, n = [], {}, len(rows)
+    for t in rows:
+        terms = set(re.findall(r"(?<![\w@.%+-])[^\W\d_]{4,}(?![\w@%+-])", (t or "").lower()))
+        for x in terms:
+            n_t[x] = n_t.get(x, 0) + 1
+        values = {t[int(a) : int(b)].lower() for _, a, b in (s.split(":") for s in spans_of(t).split(",") if s)}
+        if values:
+            held.append((terms, values))
+    n_v, n_tv = {}, {}
+    for terms, values in held:
+        for v in values:
+            n_v[v] = n_v.get(v, 0) + 1
+            for x in terms:
+                n_tv[x, v] = n_tv.get((x, v), 0) + 1
+    out = set()
+    for (x, v), both in n_tv.items():
+        p = n_v[v] / n
+        if n_v[v] < n and math.log((both + prior * p) / (n_t[x] + prior) / p) >= disclosure * -math.log(p):
+            out.add(x)
+    return out
+
+
+def test_pii_terms_are_those_of_brute_force(spark):
+    rng = random.Random(31)
+    words = [f"{a}{b}word" for a in "abcdefgh" for b in "abcdefgh"]
+    emails = [f"u{i}@mail.example" for i in range(12)]
+    rows = []
+    for i in range(500):
+        w = [rng.choice(words) for _ in range(6)]
+        if i % 5 == 0:
+            v = emails[i // 5 % 12]
+            w += [v, f"secret{'abcdefghijkl'[i // 5 % 12] * 3}"] + ["zzzz", "+49 123 4567 890"[: 16 - i % 2]] * (i % 3 == 0)
+        rows.append(" ".join(w))
+    rows += rows[:40] + [rows[5]] * 30 + [None, ""]
+    docs = spark.createDataFrame([(t,) for t in rows], "text string")
+    for prior, disclosure in ((1.0, 0.9), (0.2, 0.7), (3.0, 0.6)):
+        got = {r.term for r in pii.revealing(docs, prior=prior, disclosure=disclosure).collect()}
+        assert got == terms_by_brute_force(rows, prior, disclosure)
+    assert got
+
+
+def test_pii_hot_texts_and_ways_of_sanitising(spark, monkeypatch):
+    rows = [(i, f"Write to boss@firm.example about Zanzibar and zinc, number {i % 4}", None) for i in range(60)] + [(100 + i, f"we write about nothing and number {i}", "x") for i in range(40)] + [(None, None, None), (7, "", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __key string")
+    kinds = {"disclosure": 0.5}
+    want = sorted((repr(r.doc_id), r.spans) for r in pii.report(docs, **kinds).collect())
+    assert any("term" in s for _, s in want)
+    monkeypatch.setattr(pii, "HOT", 5)
+    monkeypatch.setattr(pii, "small", lambda *a: False)
+    assert sorted((repr(r.doc_id), r.spans) for r in pii.report(docs, **kinds).collect()) == want
+    clean = pii.sanitise(docs, **kinds)
+    assert clean.columns == docs.columns
+    texts = {r.text for r in clean.collect()}
+    assert {"Write to <EMAIL> about <NAME> and <TERM>, number 1", "we write about nothing and number 3", None, ""} <= texts
+    assert "Write to <EMAIL> about  and , number 1" in {r.text for r in pii.sanitise(docs, terms="remove", **kinds).collect()}
+    assert pii.sanitise(docs.limit(0)).count() == 0
+
+
 def test_token_counts_are_the_library_s(spark, odd_docs):
     lib = pytest.importorskip("tokenizers").Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     extra = spark.createDataFrame([(900, "<|endoftext|>", ""), (901, "a<|endoftext|> b<|endo", "")], odd_docs.schema)
