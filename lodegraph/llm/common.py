@@ -56,6 +56,17 @@ def broadcast_if_small(df: DataFrame, rows: int = 1_000_000, size: int = 64_000_
     return F.broadcast(df) if small(df, rows, size) else df
 
 
+def join_repeated(rows: DataFrame, right: DataFrame, key: str, copies: str, hot: int = 1000, salts: int = 16) -> DataFrame:
+    """rows left-joined by key with right, which has each key once and in copies how many rows share it. Keys of over
+    hot rows are joined in salted parts. right should be a checkpoint or a table."""
+    # Each hot key fills over hot rows, so a million of them come with a billion rows.
+    many = checkpoint(right.filter(F.col(copies) > hot).select(key, F.lit(True).alias("__hot")))
+    salt = F.when(F.col("__hot"), F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).otherwise(-1)
+    left = rows.join(broadcast_if_small(many), key, "left").withColumn("__salt", salt).drop("__hot")
+    parts = F.when(F.col(copies) > hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(-1)))
+    return left.join(right.withColumn("__salt", F.explode(parts)).drop(copies), [key, "__salt"], "left").drop("__salt")
+
+
 def worker_cache() -> dict:
     """A dict that lives as long as the Python worker, whatever is pickled by value."""
     return sys.modules.setdefault("_lodegraph_worker_cache", types.ModuleType("_lodegraph_worker_cache")).__dict__

@@ -4,20 +4,26 @@ Pages of one host are merged by the paths of their elements (tag, class and id n
 how the element is laid out (the run-collapsed sequence of its children) and what its branch says, over all pages
 that have it. Importance is (1 - CONTENT) of the layouts' entropy and CONTENT of the contents', each over the log of
 the number of pages: near 0 for branches that say the same everywhere, near 1 for those that always differ. Branches
-of importance below LEAST, on hosts with at least PAGES pages with the path, are removed from each page.
+of importance below LEAST, on hosts with at least PAGES pages with the path, are removed from each page, inside an
+article too. If the body itself is of low importance, or more than half of a page's article would go, the host's
+pages are copies and the tree says nothing about that page.
 
-Independent of the host, these go: head, scripts, styles, navigation, footers, asides, forms and the like, hidden
+Independent of the host, these go: head, scripts, styles, navigation, footers, asides, dialogs and the like, hidden
 elements, and branches whose class, id or role names say that they are menus, page headers, notices, adverts, sharing
-tools or comments. If a page has article or main elements, only their text is taken; the tree then prunes nothing
-inside them, since copies of one article on a host are still the article. Without them, blocks that are mostly link
-text go too. If the body itself is of low importance, the host's pages are copies and the tree says nothing.
+tools or comments: names count whole, or by their first or last part ("post-comments", but not "has-sidebar"). Names
+remove no main element, and an article only if they are those of comments, adverts or teasers. Forms go, unless a
+main part is inside. If a page has article or main elements, only their text is taken. Without them, a form or named
+branch with most of the page's text stays, if it isn't of comments or adverts; lines of several links go.
 
 Text: character references decoded, white space inside a block made one space, blocks in page order joined by one
 newline. Null or empty HTML gives an empty text; pages with a null URL, or one without ://, belong to the host "".
-Markup that breaks off is read as far as it goes. Repeated rows get a result each; an empty table an empty result.
+Markup that breaks off is read as far as it goes. Elements below NESTING levels are read as parts of the one above.
+Repeated rows get a result each; columns other than the three do not matter; an empty table gives an empty result.
 
-Scale: two passes. The first emits hashes, counted with partial aggregation by host and path, so a hot host is no
-hot task. The paths found low are broadcast if few, else joined by host.
+Scale: two passes, linear in a page's length. The first emits hashes, counted with partial aggregation by path (a
+path's hash begins with its host), so a hot host is no hot task. The paths found low are broadcast as a sorted array
+if at most LOW_PATHS. Beyond that, pages' own paths are joined with them, and what a page has of them with the page:
+neither a host nor a path's pages are ever collected.
 """
 
 from __future__ import annotations
@@ -32,12 +38,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, map_batches, worker_cache
+from .common import checkpoint, join_repeated, map_batches, worker_cache
 from .urlfilter import host
 
 PAGES, LEAST, CONTENT = 8, 0.2, 0.9
-#: Low paths that are broadcast; about 100 bytes of a worker each. Beyond, they are joined to the pages by host.
-LOW_PATHS = 1_000_000
+#: Low paths that are broadcast, 8 bytes each.
+LOW_PATHS = 4_000_000
+NESTING = 512
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z](?:[^>]*>|[^>]*\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -45,19 +52,28 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
 _CLOSES_P = _BLOCK - frozenset("td th tr tbody thead tfoot li dt dd body html head caption option legend".split())
-_GONE = frozenset("head script style noscript template iframe svg canvas object embed nav footer aside form button select option datalist textarea input label dialog menu menuitem audio video map title xmp noembed noframes search".split())
+_GONE = frozenset("head script style noscript template iframe svg canvas object embed nav footer aside button select option datalist textarea input label dialog menu menuitem audio video map title xmp noembed noframes search".split())
 _MAIN = frozenset(("article", "main"))
-_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar tooltip".split())
+_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar tooltip".split())
 _NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot banner banners promo promotion promoted sponsor sponsored sponsors sidebar sidebars aside rail widget widgets nav navs navbar navigation menu menus submenu breadcrumb breadcrumbs"
     " masthead topbar footer footers bottombar colophon cookie cookies consent gdpr notice notices notification notifications alert alerts warning popup popover modal overlay lightbox newsletter subscribe subscription signup signin login register paywall form forms searchform searchbox search"
     " share sharing shares sharebar social socials comment comments commentlist commentary respond reply replies disqus discussion livefyre guestbook related recommended recommendations recirc trending popular pagination pager paging toolbar skip skiplink copyright legal disclaimer tagcloud blogroll".split()
 )
+#: Of these, what an article element may be instead of the page's article; most of a page's text may be comments, too.
+_TEASERS = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense adslot promo promotion promoted sponsor sponsored sponsors related recommended recommendations recirc trending popular"
+    " comment comments commentlist commentary respond reply replies disqus discussion livefyre guestbook".split()
+)
+#: First parts of names that tell of the element's surroundings.
+_ABOUT = frozenset("has have no not non with without is hide show".split())
 _HEADERS = frozenset("header headers pageheader siteheader".split())
 _IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("thead", "tbody", "tr", "td", "th")}
 _SCOPES = frozenset("ul ol dl table select html body article main div section td th".split())
 
-_GOES, _IS_MAIN, _IS_HEADER, _LINK = 1, 2, 4, 8
+_GOES, _IS_MAIN, _IS_HEADER, _LINK, _NAMED, _TEASER, _FORM = 1, 2, 4, 8, 16, 32, 64
+#: Attributes up to this length are remembered, so many of them; those of links are mostly new.
+_ATTRIBUTES, _KINDS = 200, 20_000
 
 
 def _kind(tag: str, attributes: str) -> tuple[str, int]:
@@ -75,6 +91,9 @@ def _kind(tag: str, attributes: str) -> tuple[str, int]:
         flags |= _IS_HEADER
     if tag == "a":
         flags |= _LINK
+    if tag == "form":
+        flags |= _FORM
+    whole = tag == "main"
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
         if name in ("class", "id"):
@@ -84,23 +103,34 @@ def _kind(tag: str, attributes: str) -> tuple[str, int]:
                 flags |= _GOES
             elif value.lower() in ("main", "article"):
                 flags |= _IS_MAIN
+                whole = whole or value.lower() == "main"
+            elif value.lower() == "form":
+                flags |= _FORM
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower()):
             flags |= _GOES
         elif name == "itemprop" and value.lower() == "articlebody":
             flags |= _IS_MAIN
-    words = {w for n in names for w in re.split(r"[^a-z0-9]+", re.sub(r"[0-9]+$", "", n))}
+    words = set()
+    for n in names:
+        parts = [w for w in re.split(r"[^a-z0-9]+", n) if w]
+        parts = [re.sub(r"(?<=[a-z])[0-9]+$", "", w) for w in parts if not w.isdigit()]
+        if parts and parts[0] not in _ABOUT:
+            words |= {parts[0], parts[-1], "".join(parts)}
     if tag not in ("html", "body"):
-        if words & _NAMES:
-            flags |= _GOES
+        if words & _TEASERS:
+            flags |= _TEASER
+        if words & _NAMES and not whole and not (flags & _IS_MAIN and not words & _TEASERS):
+            flags |= _NAMED
         if words & _HEADERS:
             flags |= _IS_HEADER
-    if flags & _GOES:
+    if flags & (_GOES | _NAMED):
         flags &= ~_IS_MAIN
     # Long numbers in names are per page, not per site.
     out = tag + "".join("." + re.sub(r"[0-9]{2,}", "0", n) for n in names), flags
-    if len(cache) > 100_000:
-        cache.clear()
-    cache[(tag, attributes)] = out
+    if len(attributes) <= _ATTRIBUTES:
+        if len(cache) >= _KINDS:
+            cache.clear()
+        cache[(tag, attributes)] = out
     return out
 
 
@@ -108,8 +138,16 @@ class Page:
     """A page's elements and texts. Element i: parent[i], name[i], flags[i], path[i] (hash of names from the root).
     pieces: (element, text), with None as text where a block ends."""
 
-    def __init__(self, source: str):
-        self.parent, self.name, self.flags, self.path, self.tag = [-1], [""], [0], [0], [""]
+    def __init__(self, source: str, host: str = ""):
+        self.parent, self.name, self.flags, self.path, self.tag = [-1], [""], [0], [hash_of(host)], [""]
+        opened: Counter = Counter()  # by tag, of the open elements
+        skipped: Counter = Counter()  # by tag, of those too deep to be opened
+
+        def close(k: int) -> None:
+            for i in open_[k:]:
+                opened[self.tag[i]] -= 1
+            del open_[k:]
+
         self.pieces: list[tuple[int, str | None]] = []
         open_, at = [0], 0
         pieces = self.pieces
@@ -128,11 +166,16 @@ class Page:
                 continue
             tag = tag.lower()
             if m[1]:
-                for k in range(len(open_) - 1, 0, -1):
+                if skipped[tag]:
+                    skipped[tag] -= 1
+                    if tag in _BLOCK:
+                        pieces.append((open_[-1], None))
+                    continue
+                for k in range(len(open_) - 1, 0, -1) if opened[tag] else ():
                     if self.tag[open_[k]] == tag:
                         if tag in _BLOCK or any(self.tag[i] in _BLOCK for i in open_[k:]):
                             pieces.append((open_[-1], None))
-                        del open_[k:]
+                        close(k)
                         break
                     if self.tag[open_[k]] in _SCOPES and tag not in _BLOCK:
                         break
@@ -141,11 +184,11 @@ class Page:
                 pieces.append((open_[-1], None))
                 implied = ("p",) if tag in _CLOSES_P else ()
                 implied += _IMPLIED.get(tag, ())
-                if implied:
+                if any(opened[t] for t in implied):
                     for k in range(len(open_) - 1, 0, -1):
                         t = self.tag[open_[k]]
                         if t in implied:
-                            del open_[k:]
+                            close(k)
                             if t == "p":
                                 break
                         elif t in _SCOPES:
@@ -163,102 +206,173 @@ class Page:
             if tag in _RAW:
                 end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, pos)
                 pos = end.end() if end else size
-            elif tag not in _VOID and not m[3].rstrip().endswith("/"):
-                open_.append(at)
-            elif tag not in _VOID:
-                open_.append(at)  # a slash closes only void elements
+            elif tag not in _VOID:  # a slash closes only void elements
+                if len(open_) < NESTING:
+                    open_.append(at)
+                    opened[tag] += 1
+                else:
+                    skipped[tag] += 1
+
+    def sizes(self, goes: list[bool]) -> list[int]:
+        """Characters of text in each element's branch, without what goes."""
+        out = [0] * len(self.parent)
+        for i, t in self.pieces:
+            if t and not goes[i]:
+                out[i] += len(t.strip())
+        for i in range(len(out) - 1, 0, -1):
+            out[self.parent[i]] += out[i]
+        return out
 
     def text(self, low: frozenset[int] | set[int] = frozenset()) -> str:
         """The main text; low: hashes of paths of little importance."""
-        n = len(self.parent)
-        goes, main = [False] * n, [False] * n
-        link = [False] * n
+        n, parent, flags = len(self.parent), self.parent, self.flags
+        hard = [False] * n
+        for i in range(1, n):
+            hard[i] = hard[parent[i]] or bool(flags[i] & _GOES)
+        holds_main, holds_whole = [False] * n, [False] * n
+        for i in range(n - 1, 0, -1):
+            if not hard[i]:
+                own = bool(flags[i] & _IS_MAIN)
+                holds_main[parent[i]] |= own or holds_main[i]
+                holds_whole[parent[i]] |= own and self.tag[i] == "main" or holds_whole[i]
+        size = None if holds_main[0] else self.sizes(hard)
+        goes, main, link = [False] * n, [False] * n, [False] * n
         for i in range(1, n):
-            up, f = self.parent[i], self.flags[i]
-            main[i] = (main[up] or bool(f & _IS_MAIN)) and not f & _GOES
-            goes[i] = goes[up] or bool(f & _GOES) or bool(f & _IS_HEADER) and not main[up]
+            up, f = parent[i], flags[i]
+            soft = f & _NAMED and not holds_whole[i] or f & _FORM and not holds_main[i]
+            if soft and size is not None and not f & _TEASER and size[i] * 2 > size[0]:
+                soft = False
+            main[i] = main[up] or bool(f & _IS_MAIN)
+            goes[i] = goes[up] or bool(f & _GOES) or bool(soft) or bool(f & _IS_HEADER) and not main[up]
             link[i] = link[up] or bool(f & _LINK)
         only_main = any(main[i] and not goes[i] for i in range(n))
-        if not only_main and low and not any(t == "body" and p in low for t, p in zip(self.tag, self.path)):
+        if low and not any(t == "body" and p in low for t, p in zip(self.tag, self.path)):
+            pruned = list(goes)
             for i in range(1, n):
-                goes[i] = goes[i] or goes[self.parent[i]] or self.path[i] in low
-        out, block, linked = [], [], 0
+                # What holds a main part, or is its root, stays as such.
+                root = only_main and (holds_main[i] or flags[i] & _IS_MAIN)
+                pruned[i] = goes[i] or pruned[parent[i]] or self.path[i] in low and not root
+            if not only_main:
+                goes = pruned
+            else:
+                left = lambda g: sum(len(t.strip()) for i, t in self.pieces if t and main[i] and not g[i])
+                if left(pruned) * 2 >= left(goes):
+                    goes = pruned
+        out, block, links, linked = [], [], set(), 0
         for i, t in [*self.pieces, (0, None)]:
             if t is None:
                 if block:
                     whole = " ".join(html.unescape("".join(block)).split())
-                    if whole and (only_main or linked * 2 <= len(whole)):
+                    if whole and (only_main or len(links) < 2 or linked * 2 <= len(whole)):
                         out.append(whole)
-                block, linked = [], 0
+                block, links, linked = [], set(), 0
             elif not goes[i] and (main[i] or not only_main):
                 block.append(t)
-                linked += len(t.strip()) if link[i] else 0
+                if link[i] and not only_main and t.strip():
+                    linked += len(t.strip())
+                    links.add(i)
         return "\n".join(out)
 
     def styles(self) -> list[tuple[int, int, int]]:
-        """(path, hash of its layouts, hash of its branch's text) of every path on the page."""
-        children: list[list[str]] = [[] for _ in self.parent]
-        says: list[list[str]] = [[] for _ in self.parent]
-        for i in range(1, len(self.parent)):
+        """(path, hash of its layouts, hash of its branch's text) of every path on the page. An element's text hash is
+        made of its own texts' and its children's, in page order, so each text counts once and not for all above it."""
+        n = len(self.parent)
+        children: list[list[str]] = [[] for _ in range(n)]
+        for i in range(1, n):
             c = children[self.parent[i]]
             if not c or c[-1] != self.name[i]:
                 c.append(self.name[i])
-        for i, t in self.pieces:
+        says: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+        for at, (i, t) in enumerate(self.pieces):
             if t and not t.isspace():
-                while i > 0:
-                    says[i].append(t)
-                    i = self.parent[i]
-        by_path: dict[int, tuple[list[str], list[str]]] = {}
-        for i in range(1, len(self.parent)):
+                says[i].append((at, hash_of(" ".join(t.split()))))
+        content = [0] * n
+        for i in range(n - 1, 0, -1):
+            if says[i]:
+                says[i].sort()
+                content[i] = hash_of(",".join(str(h) for _, h in says[i]))
+                says[self.parent[i]].append((says[i][0][0], content[i]))
+        by_path: dict[int, tuple[dict[str, None], list[int]]] = {}
+        for i in range(1, n):
             if self.tag[i] in _GONE:
                 continue
-            a, b = by_path.setdefault(self.path[i], ([], []))
-            a.append(" ".join(children[i]))
-            b.extend(says[i])
-        return [(p, hash_of("\n".join(dict.fromkeys(a))), hash_of(" ".join(" ".join(b).split()))) for p, (a, b) in by_path.items()]
+            a, b = by_path.setdefault(self.path[i], ({}, []))
+            a[" ".join(children[i])] = None
+            b.append(content[i])
+        return [(p, hash_of("\n".join(a)), hash_of(",".join(map(str, b)))) for p, (a, b) in by_path.items()]
 
 
 def hash_of(s: str) -> int:
     return xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def _rows(pages: DataFrame, url_col: str, html_col: str) -> list:
+    return [host(F.col(url_col)).alias("host"), F.col(html_col).alias("x")]
+
+
 def site_styles(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_pages: int = PAGES, least: float = LEAST) -> DataFrame:
-    """host and path (a hash) of the branches of little importance."""
+    """path (a hash that begins with the host) of the branches of little importance."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         seen: Counter = Counter()
         for h, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            for p, layout, content in Page(x or "").styles():
-                seen[(h, p, 0, layout)] += 1
-                seen[(h, p, 1, content)] += 1
+            for p, layout, content in Page(x or "", h).styles():
+                seen[(p, 0, layout)] += 1
+                seen[(p, 1, content)] += 1
         rows = list(seen)
-        return pa.RecordBatch.from_pydict({"host": pa.array([r[0] for r in rows], pa.string()), "path": pa.array([r[1] for r in rows], pa.int64()), "kind": pa.array([r[2] for r in rows], pa.int32()), "h": pa.array([r[3] for r in rows], pa.int64()), "n": pa.array([seen[r] for r in rows], pa.int64())})
+        return pa.RecordBatch.from_pydict({"path": pa.array([r[0] for r in rows], pa.int64()), "kind": pa.array([r[1] for r in rows], pa.int32()), "h": pa.array([r[2] for r in rows], pa.int64()), "n": pa.array([seen[r] for r in rows], pa.int64())})
 
-    each = map_batches(pages.select(host(F.col(url_col)).alias("host"), F.col(html_col).alias("x")), run, "host string, path bigint, kind int, h bigint, n bigint")
-    counts = each.groupBy("host", "path", "kind", "h").agg(F.sum("n").alias("n"))
-    both = counts.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
+    each = map_batches(pages.select(*_rows(pages, url_col, html_col)), run, "path bigint, kind int, h bigint, n bigint")
+    counts = each.groupBy("path", "kind", "h").agg(F.sum("n").alias("n"))
+    both = counts.groupBy("path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
     # Entropy over m pages is ln m - (sum of n ln n) / m; as a share of ln m:
     share = F.when(F.col("m") > 1, 1 - F.col("s") / (F.col("m") * F.log("m"))).otherwise(1.0)
     weight = F.when(F.col("kind") == 1, CONTENT).otherwise(1 - CONTENT)
-    both = both.groupBy("host", "path").agg(F.max("m").alias("m"), F.sum(share * weight).alias("importance"))
-    return both.filter((F.col("m") >= least_pages) & (F.col("importance") < least)).select("host", "path")
+    both = both.groupBy("path").agg(F.max("m").alias("m"), F.sum(share * weight).alias("importance"))
+    return both.filter((F.col("m") >= least_pages) & (F.col("importance") < least)).select("path")
+
+
+def _own_low(pages: DataFrame, low: DataFrame, url_col: str, html_col: str) -> DataFrame:
+    """key (hash of host and HTML), n (pages with it) and low (paths) of the pages with low paths, as a checkpoint."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        key, path = [], []
+        for k, h, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            some = set(Page(x or "", h).path)
+            key.extend([k] * len(some))
+            path.extend(some)
+        return pa.RecordBatch.from_pydict({"key": pa.array(key, pa.int64()), "path": pa.array(path, pa.int64())})
+
+    h, x = _rows(pages, url_col, html_col)
+    each = map_batches(pages.select(F.xxhash64(h, x).alias("key"), h, x), run, "key bigint, path bigint")
+    each = each.groupBy("key", "path").agg(F.count(F.lit(1)).alias("n")).join(low, "path")
+    return checkpoint(each.groupBy("key").agg(F.max("n").alias("n"), F.collect_list("path").alias("low")))
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_col: str = "page_id", least_pages: int = PAGES, least: float = LEAST, low_paths: int = LOW_PATHS) -> DataFrame:
     """id, url, text, n_chars of every row."""
     low = checkpoint(site_styles(pages, url_col, html_col, least_pages, least))
-    rows = pages.select(F.col(id_col).alias("i"), F.col(url_col).alias("u"), F.col(html_col).alias("x"), host(F.col(url_col)).alias("h"))
-    known: dict[str, frozenset[int]] | None = None
+    h, x = _rows(pages, url_col, html_col)
+    rows = pages.select(F.col(id_col).alias("i"), F.col(url_col).alias("u"), x, h.alias("h"))
+    known: np.ndarray | None = None
     if low.count() <= low_paths:
-        known = {r[0]: frozenset(r[1]) for r in low.groupBy("host").agg(F.collect_list("path")).collect()}
+        known = np.sort(low.toPandas()["path"].to_numpy(np.int64))
         rows = rows.withColumn("low", F.lit(None).cast("array<bigint>"))
     else:
-        rows = rows.join(low.groupBy("host").agg(F.collect_list("path").alias("low")).withColumnRenamed("host", "h"), "h", "left").select("i", "u", "x", "h", "low")
+        own = _own_low(pages, low, url_col, html_col)
+        rows = join_repeated(rows.withColumn("key", F.xxhash64("h", "x")), own, "key", "n").select("i", "u", "x", "h", "low")
+
+    def text(x: str | None, h: str, own: list[int] | None) -> str:
+        page = Page(x or "", h)
+        if known is not None:
+            paths = np.unique(np.array(page.path, np.int64))
+            at = np.searchsorted(known, paths)
+            own = paths[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == paths)].tolist() if len(known) else ()
+        return page.text(frozenset(own or ()))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        some = b.column(4).to_pylist() if known is None else ()
-        text = [Page(x or "").text(frozenset(some[k] or ()) if known is None else known.get(h, frozenset())) for k, (x, h) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist()))]
-        return pa.RecordBatch.from_pydict({"i": b.column(0), "u": b.column(1), "text": pa.array(text, pa.string()), "n_chars": pa.array(np.array([len(t) for t in text], np.int64))})
+        out = [text(x, h, some) for x, h, some in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)))]
+        return pa.RecordBatch.from_pydict({"i": b.column(0), "u": b.column(1), "text": pa.array(out, pa.string()), "n_chars": pa.array(np.array([len(t) for t in out], np.int64))})
 
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
     return map_batches(rows, run, f"i {kinds[id_col]}, u {kinds[url_col]}, text string, n_chars bigint").toDF(id_col, url_col, "text", "n_chars")

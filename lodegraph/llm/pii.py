@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, checkpoint, small
+from .common import broadcast_if_small, checkpoint, join_repeated, small
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 PRIOR, DISCLOSURE = 1.0, 0.9
@@ -151,12 +151,7 @@ def spans(docs: DataFrame, text_col: str = "text", **kinds) -> DataFrame:
         if small(sets, 100_000):
             out = keyed.join(F.broadcast(sets.drop("n")), "__key", "left")
         else:
-            # A hot text fills over HOT rows, so a million of them come with a billion rows.
-            hot = checkpoint(sets.filter(F.col("n") > HOT).select("__key", F.lit(True).alias("__hot")))
-            salt = F.when(F.col("__hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).otherwise(-1)
-            keyed = keyed.join(broadcast_if_small(hot), "__key", "left").withColumn("__salt", salt).drop("__hot")
-            parts = F.when(F.col("n") > HOT, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1)))
-            out = keyed.join(sets.select("__key", "__terms", F.explode(parts).alias("__salt")), ["__key", "__salt"], "left").drop("__salt")
+            out = join_repeated(keyed, sets, "__key", "n", HOT, SALTS)
         out = out.drop("__key").withColumn("__terms", F.coalesce("__terms", none))
     words = _places(t, _TERM, KINDS.index("term"), F.col("__terms"))
     extra = F.when(F.size("__terms") > 0, words).otherwise(F.array().cast(_SPAN))

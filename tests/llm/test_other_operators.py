@@ -71,6 +71,102 @@ def test_site_style_tree_removes_what_repeats(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+def test_tree_removes_a_branch_inside_articles_that_no_rule_knows(spark):
+    page = "<body><form id=aspnetForm><article><h1>Title {0}</h1><p>Own text number {0} is here, and more of it</p><div class='zq'>Read our other pages of this house</div></article></form></body>"
+    rows = [(i, f"http://a.example/{i}", page.format(i)) for i in range(12)] + [(50, "http://b.example/", page.format(50))]
+    rows += [(60 + i, f"http://c.example/{i}", page.format("same")) for i in range(12)]
+    pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")
+    own, same = "Title {0}\nOwn text number {0} is here, and more of it", "\nRead our other pages of this house"
+    for low_paths in (html.LOW_PATHS, 0):
+        got = {r.page_id: r.text for r in html.extract(pages, low_paths=low_paths).collect()}
+        assert got[3] == own.format(3) and got[50] == own.format(50) + same
+        # Copies of one page: the tree says nothing.
+        assert got[61] == own.format("same") + same
+
+
+def test_names_remove_no_main_text():
+    body = "<p>Long text of the article itself</p>"
+    for tag in ("main class='no-sidebar'", "main class=search", "div class='content has-sidebar'><article", "article class='post legal'", "article id=forms", "form><main", "div class='search-form'><main"):
+        assert Page(f"<body><{tag}>{body}</body>").text() == "Long text of the article itself"
+    assert Page(f"<body><div class='search'>{body}</div><div>x</div></body>").text() == "Long text of the article itself\nx"
+    assert Page(f"<article>{body}<div class='warning'>Mind</div></article>").text().startswith("Long text")
+    assert Page(f"<article>{body}</article><div class=related><article class=card>Other</article></div><article class='comment'>Me too</article>").text() == "Long text of the article itself"
+    assert Page(f"<body><div>{body}</div><div><a>Home</a> <a>News</a></div><ul><li><a>One source</a></ul></body>").text() == "Long text of the article itself\nOne source"
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    for page in ("<div>x" * 100_000, "<div>" * 100_000 + "deep" + "</div>" * 100_000 + "<p>after", "<b><div>" + "<span>" * 50_000 + "</b>" * 50_000 + "end", "<i>" * 50_000 + "</u>" * 50_000 + "end", "<p class='" + "a " * 500_000 + "'>end"):
+        began = time.time()
+        p = Page(page)
+        assert p.styles() and p.text()[-5:] in ("x\nx\nx"[-5:], "after", "end")
+        assert time.time() - began < 10
+    assert Page("<article>" + "<div>" * 2000 + "deep" + "</div>" * 2000 + "<p>in</article>out").text() == "deep\nin"
+
+
+class Simple:
+    """Another reader of pages with well-formed markup: keeps the blocks of article elements but for marked ones."""
+
+    def __init__(self, source):
+        from html.parser import HTMLParser
+
+        out, block, state = [], [], {"main": 0, "gone": 0}
+        blocks = {"p", "div", "h1", "h2", "ul", "li", "article", "nav", "footer", "aside", "section", "body"}
+
+        def flush():
+            if text := " ".join("".join(block).split()):
+                out.append(text)
+            block.clear()
+
+        class Reader(HTMLParser):
+            stack = []
+
+            def handle_starttag(self, tag, attrs):
+                if tag in blocks:
+                    flush()
+                gone = tag in ("nav", "footer", "aside", "script", "style") or dict(attrs).get("class") in ("ad", "comments", "share")
+                self.stack.append((tag == "article", gone))
+                state["main"] += tag == "article"
+                state["gone"] += gone
+
+            def handle_endtag(self, tag):
+                if tag in blocks:
+                    flush()
+                main, gone = self.stack.pop()
+                state["main"] -= main
+                state["gone"] -= gone
+
+            def handle_data(self, data):
+                if state["main"] and not state["gone"]:
+                    block.append(data)
+
+        r = Reader()
+        r.feed(source)
+        r.close()
+        flush()
+        self.text = "\n".join(out)
+
+
+def test_pages_against_another_reader():
+    rng = random.Random(6)
+
+    def some(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice(["word", "a &amp; b", " two\n lines ", "caf&eacute; &#233;", ""])
+        tag = rng.choice(["p", "div", "div class=ad", "b", "a href=x", "ul", "li", "section", "aside", "nav", "i", "h2", "div class=comments", "script"])
+        inner = "var x;" if tag == "script" else "".join(some(depth - 1) for _ in range(rng.randrange(4)))
+        if tag in ("p", "h2", "li", "ul"):
+            inner = f"<b>{rng.choice(['x', 'y z'])}</b>"
+        if tag == "li":
+            return f"<ul><li>{inner}</li></ul>"
+        return f"<{tag}>{inner}</{tag.split()[0]}>"
+
+    for _ in range(300):
+        source = "<body>" + some(2) + "<article><h1>T</h1>" + "".join(some(4) for _ in range(4)) + "</article>" + some(2) + "</body>"
+        assert Page(source).text() == Simple(source).text, source
+
+
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/")]
 
 
