@@ -41,6 +41,49 @@ def test_topk_prunes_nothing_it_needs(spark, monkeypatch):
         assert sorted(got[q]) == [(k + 1, i) for k, (_, i) in enumerate(s)]
 
 
+def best_of(rows, k):
+    import math
+
+    ints = [(i, [max(min(math.floor(64 * x), 2**63 - 1), -(2**63)) for x in v]) for i, v in rows]
+    return {q: [(n + 1, i, -x) for n, (x, i) in enumerate(sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in ints if i != q)[:k])] for q, v in ints if q % 20 == 0}
+
+
+def topk_of(out):
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    return {q: sorted(x) for q, x in got.items()}
+
+
+def test_topk_skips_blocks_of_short_vectors(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_VALUES", 240)
+    monkeypatch.setattr(topk, "QUERY_VALUES", 24)
+    rng = random.Random(10)
+    rows = [(i, [rng.gauss(0, 1) * 0.5 ** (i % 6) for _ in range(6)]) for i in range(600)]
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, score string")
+    seen = []
+    real = topk.pairs
+
+    def spy(wanted, blocks, ranks):
+        out = real(wanted, blocks, ranks)
+        seen.append((out.count(), wanted.count() / 4, blocks.count()))
+        return out
+
+    monkeypatch.setattr(topk, "pairs", spy)
+    assert topk_of(topk.search(df, df.filter("vec_id % 20 = 0"), 5)) == best_of(rows, 5)
+    met, queries, blocks = seen[0]
+    assert blocks >= 15 and met < 0.6 * queries * (blocks - 1)
+
+
+def test_topk_of_huge_components(spark):
+    rng = random.Random(12)
+    rows = [(i, [rng.choice([1.0, -3.0, 1e12, -(2.0**57), 2.0**62, 1e300]) * rng.choice([1, -1]) for _ in range(3)]) for i in range(80)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    clip = lambda x: max(min(x, 2**63 - 1), -(2**63))
+    want = {q: [(n, i, clip(s)) for n, i, s in x] for q, x in best_of(rows, 5).items()}
+    assert topk_of(topk.search(df, df.filter("vec_id % 20 = 0"), 5)) == want
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header class="top">Site</header><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice">We use cookies</div>
 <article><h1>One  &amp; two</h1><p><b>First<br>line.<p>Second &lt;tag&gt;\n text&nbsp;here<div class="ad">Buy</div><form>Name<input></form>
