@@ -77,6 +77,22 @@ def test_decontamination_cuts_or_drops(spark):
     assert decontaminate.decontaminate(docs.limit(0), bench.limit(0)).count() == 0
 
 
+def test_decontamination_by_a_table_of_windows_gives_the_same(spark, odd_docs, monkeypatch):
+    rng = random.Random(14)
+    word = lambda: rng.choice(["aa", "b", "É", "dd", "e7"])
+    bench = spark.createDataFrame([(i, " ".join(word() for _ in range(rng.randrange(1, 9)))) for i in range(60)] + [(1, "aa b aa"), (None, "b b"), (7, None), (8, "")], "item_id long, text string")
+    extra = spark.createDataFrame([(700 + i, ", ".join(word() for _ in range(rng.randrange(60))), "") for i in range(40)] + [(900, "aa b aa!", "")] * 30, odd_docs.schema)
+    docs = odd_docs.union(extra)
+    monkeypatch.setattr(decontaminate, "BITS", 20)
+    for n in (3, 5):
+        rows = [sorted(map(repr, decontaminate.score(docs, bench, n=n, spans=True, keep=["doc_id"], block_words=w).collect())) for w in (1_000_000, 1)]
+        assert rows[0] == rows[1] and any("contaminated=True" in r for r in rows[0])
+    cut = [sorted(map(repr, decontaminate.decontaminate(docs, bench, n=3, action="cut").collect()))]
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 1)
+    assert cut == [sorted(map(repr, decontaminate.decontaminate(docs, bench, n=3, action="cut").collect()))]
+    assert decontaminate.decontaminate(docs.limit(0), bench).count() == 0
+
+
 def test_jaccard_finds_copies_and_near_copies(spark):
     rng = random.Random(1)
     words = [f"w{i}" for i in range(3000)]
