@@ -13,7 +13,7 @@ from __future__ import annotations
 import base64
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import regex
@@ -455,7 +455,8 @@ class TextCodec:
         rows = len(offsets) - 1
         start, end, row, left_out = cut_pieces(data, offsets)
         extra = np.zeros(rows, np.int64)
-        if left_out.any() or self.special and b"<" in data[offsets[0] : offsets[-1]].tobytes():
+        blob = data[offsets[0] : offsets[-1]].tobytes() if self.special else b""
+        if left_out.any() or any(x.encode() in blob for x in self.special):
             add = []
             special_rows = np.zeros(rows, bool)
             for r in range(rows):
@@ -509,18 +510,106 @@ class TextCodec:
         raw = np.frombuffer(text.encode(), np.uint8)
         return self.encode_rows(raw, np.array([0, len(raw)]))[1]().tolist()
 
-    def prefix_counts(self, text: str) -> list[int]:
-        """Tokens of the encoding of each prefix in bytes of a text's pieces, 0 first: whole pieces add up, and
-        within a piece its own table counts. An entry is exact wherever the pattern cuts the prefix as it cuts
-        the text, which holds but for trailing white space and contractions."""
-        out = [0]
+    def _plain_prefixes(self, text: str, limit: float) -> Iterator[tuple[int, int]]:
+        """Bytes and tokens of each prefix of a text without special strings that ends between characters, from one
+        character on, until the tokens surely exceed the limit.
+
+        A cut changes how the pattern cuts the text's last pieces only: white space before it may join the piece
+        before, and a contraction falls apart. Those ends are cut again; else a piece's own table counts."""
+        sizes = [len(c.encode()) for c in text]
+        at = done = before = 0  # characters and tokens of the pieces so far, tokens without the last of these
+        last = ""
+        size = 0
         for p in pieces(text):
-            base = out[-1]
-            out.extend(base + n for n in self.bpe.prefix_counts(p.encode())[1:])
+            if before > limit:
+                return
+            table = self.bpe.prefix_counts(p.encode())
+            inside = 0
+            for i in range(1, len(p) + 1):
+                inside += sizes[at + i - 1]
+                head = p[:i]
+                again = head[0] == "'" or last != "" and last.isspace() and head.isspace()
+                n = before + sum(self.bpe.prefix_counts(x.encode())[-1] for x in pieces(last + head)) if again else done + table[inside]
+                yield size + inside, n
+            at, size, last, before, done = at + len(p), size + inside, p, done, done + table[-1]
+
+    def prefixes(self, text: str, limit: float = float("inf")) -> Iterator[tuple[int, int]]:
+        """Bytes and tokens of each prefix of a text that ends between characters, the empty one first: exactly what
+        the library counts for it. It ends where tokens surely exceed the limit."""
+        yield 0, 0
+        parts, n = self.parts(text)
+        base = size = at = 0
+        for k, part in enumerate(parts):
+            at += len(part)
+            special = self.cut.match(text, at).group() if k < n else ""
+            at += len(special)
+            end = len(part.encode())
+            whole = 0 if not end else None
+            for bytes_, count in self._plain_prefixes(part + special[:-1], limit - base):
+                if bytes_ == end:
+                    whole = count
+                yield size + bytes_, base + count
+            if whole is None:  # the limit came first
+                return
+            if special:
+                base, size = base + whole + 1, size + len((part + special).encode())
+                yield size, base
+            if base > limit + 1:
+                return
+
+    def prefix_counts(self, text: str) -> list[int | None]:
+        """Tokens of each prefix in bytes, 0 first; None where a character isn't complete."""
+        out: list[int | None] = [None] * (len(text.encode()) + 1)
+        for i, n in self.prefixes(text):
+            out[i] = n
         return out
 
-    def fits(self, text: str, limit: int) -> int:
-        """Length in UTF-8 bytes of the longest prefix, ending between characters, whose table entry is within
-        the limit; the text isn't encoded again."""
-        raw, table = text.encode(), self.prefix_counts(text)
-        return max(i for i in range(len(raw) + 1) if table[i] <= limit and (i == len(raw) or raw[i] & 0xC0 != 0x80))
+    def fits(self, text: str, limit: int) -> tuple[int, int]:
+        """Bytes and tokens of the longest prefix, ending between characters, of at most so many tokens; read off the
+        table of prefixes, without encoding the text again."""
+        return max(x for x in self.prefixes(text, limit) if x[1] <= limit) if limit >= 0 else (0, 0)
+
+    def edited(self, text: str, ids: list[int], start: int, end: int, new: str) -> tuple[str, list[int], int]:
+        """The text with characters start to end replaced, its ids, and how many of the given ids were used again:
+        those of pieces before the edit and from where the pieces fall together with the old ones after it."""
+        start = min(max(start, 0), len(text))
+        end = min(max(end, start), len(text))
+        out = text[:start] + new + text[end:]
+        if self.parts(text)[1] or self.parts(out)[1]:
+            raise ValueError("ids are not offered for texts with special strings")
+        # Pieces are cut without looking back, so they are the same from any common border on.
+        borders = [0]
+        for p in pieces(text):
+            borders.append(borders[-1] + len(p))
+            if borders[-1] > start:
+                break
+        keep = borders[max(0, len(borders) - 3)]
+        old = self._borders(text, keep)
+        shift = len(out) - len(text)
+        middle, sync, known = [], None, next(old, None)
+        for a, p in self._pieces_from(out, keep):
+            if a >= start + len(new):
+                while known is not None and known + shift < a:
+                    known = next(old, None)
+                if known is not None and known + shift == a:
+                    sync = known
+                    break
+            middle.append(p)
+        ends, total = {0: 0}, 0
+        for i, t in enumerate(ids, 1):
+            total += len(self.bpe.bytes[t])
+            ends[total] = i
+        head = list(ids[: ends[len(text[:keep].encode())]])
+        tail = list(ids[ends[len(text[:sync].encode())] :]) if sync is not None else []
+        return out, head + [t for p in middle for t in self.bpe.encode(p.encode())] + tail, len(head) + len(tail)
+
+    @staticmethod
+    def _pieces_from(text: str, at: int) -> Iterator[tuple[int, str]]:
+        for m in _PIECES.finditer(text, at):
+            yield m.start(), m.group()
+
+    def _borders(self, text: str, at: int) -> Iterator[int]:
+        for a, p in self._pieces_from(text, at):
+            yield a
+            at = a + len(p)
+        yield at

@@ -165,15 +165,16 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     """Trees from labelled documents outside the held-out fold."""
     good = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).filter(F.col("i").isNotNull() & F.col("y").isin(0, 1) & (fold(F.col("i")) != 0))
     some = checkpoint(good.orderBy(F.xxhash64("i"), "i", "y").limit(sample))
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(some), "i").dropDuplicates(["i", "y"])
-    got = _statistics_of(rows, "t", F.struct("i", "y"), f"struct<i:{docs.schema[id_col].dataType.simpleString()},y:int>").select("k.i", "k.y", "x").toPandas().sort_values(["i", "y"])
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(some), "i")
+    each = _statistics_of(rows, "t", F.struct("i", "y"), f"struct<i:{docs.schema[id_col].dataType.simpleString()},y:int>").groupBy("k").agg(F.min("x").alias("x"))
+    got = each.select("k.i", "k.y", "x").toPandas().sort_values(["i", "y"])
     x = np.stack(got["x"].to_numpy()) if len(got) else np.zeros((0, len(NAMES)))
     return train(x, got["y"].to_numpy(np.float64))
 
 
 def score(docs: DataFrame, model: Trees, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns keep and score, of every row."""
-    keep = [c for c in docs.columns if c != text_col] if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c != "score" and (keep is not None or c != text_col)]
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         data, off = utf8(b.column(0))

@@ -5,12 +5,13 @@ shard number; ties go to the smaller shard. Key and shard count (and weights) al
 records only into itself, about its share of each.
 
 A null key counts as the empty string, a null text as empty; rows that repeat a key go to the same shard; empty
-tables give empty results. Slots number the rows of a shard from 0 without gaps, in the order of a digest of key,
+tables give empty results; other columns do not matter, and write keeps them, also one named shard. Slots number the rows of a shard from 0 without gaps, in the order of a digest of key,
 checksum and size; equal rows take slots next to each other.
 
 Scale: scores are computed row by row. For slots, equal rows are first counted together (partial aggregation), then
 ranked inside buckets by the first digits of the digest, and buckets are offset by running totals of at most
-16**DIGITS rows a shard. No window spans a shard, and texts are never shuffled.
+16**DIGITS rows a shard. No window spans a shard, and texts are never shuffled. Slots of over CHUNK equal rows are
+given in parts, spread over tasks.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 #: Hexadecimal digits of the digest that name a bucket of a shard: 4096 buckets each.
 DIGITS = 3
+CHUNK = 100_000
 
 
 def rendezvous(key: Column, weights: list[float]) -> Column:
@@ -55,12 +57,16 @@ def assign(docs: DataFrame, shards: int = 8, weights: list[float] | None = None,
     offsets = sizes.select("shard", "bucket", F.coalesce(F.sum("m").over(above), F.lit(0)).alias("offset"))
     out = ranked.join(offsets, ["shard", "bucket"])
     first = F.col("offset") + F.col("before")
-    out = out.withColumn("slot", F.explode(F.sequence(first, first + F.col("n") - 1)))
+    out = out.select("k", "size", "crc", "shard", "grown", "n", first.alias("first"))
+    few = out.filter(F.col("n") <= CHUNK)
+    many = out.filter(F.col("n") > CHUNK).withColumn("from", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1, F.lit(CHUNK).cast("long"))))
+    many = many.withColumn("n", F.least(F.lit(CHUNK).cast("long"), F.col("first") + F.col("n") - F.col("from"))).withColumn("first", F.col("from")).drop("from").repartition("shard", "first")
+    out = few.unionByName(many).withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
     return out.select(F.col("k").alias(key_col), "size", F.col("crc").alias("text_crc32"), F.lit("key").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.col("grown").cast("int").alias("grown_shard"))
 
 
 def write(docs: DataFrame, path: str, shards: int = 8, weights: list[float] | None = None, key_col: str = "doc_id") -> None:
-    """Writes the documents under path/shard=N, with all their columns."""
+    """Writes the documents under path/shard=N, with all their columns; shard_number=N, if one is named shard."""
     weights = [1.0] * shards if weights is None else [float(w) for w in weights]
-    name = "shard" if "shard" not in docs.columns else "shard_number"
+    name = next(n for n in ("shard", "shard_number", *(f"shard_{i}" for i in range(len(docs.columns) + 1))) if n not in docs.columns)
     docs.withColumn(name, rendezvous(F.coalesce(F.col(key_col).cast("string"), F.lit("")), weights)).write.mode("overwrite").partitionBy(name).parquet(path)

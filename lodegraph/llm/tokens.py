@@ -32,6 +32,47 @@ def count_tokens(docs: DataFrame, path: str, text_col: str = "text", id_col: str
     return out.withColumnRenamed("i", id_col)
 
 
+def truncate(docs: DataFrame, path: str, limit: int, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """id, text (the longest beginning of at most limit tokens, in whole characters), n_bytes and n_tokens of it, and
+    cut (whether that is not all) of each row; null texts count as empty. Read off the table of prefixes."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        codec = TextCodec.of(path)
+        text, size, n, cut = [], [], [], []
+        for x in b.column(1).to_pylist():
+            raw = (x or "").encode()
+            i, k = codec.fits(x or "", limit)
+            text.append(raw[:i].decode())
+            size.append(i)
+            n.append(k)
+            cut.append(i < len(raw))
+        return pa.RecordBatch.from_pydict({"i": b.column(0), "text": pa.array(text, pa.string()), "n_bytes": pa.array(size, pa.int64()), "n_tokens": pa.array(n, pa.int64()), "cut": pa.array(cut, pa.bool_())})
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    return map_batches(rows, run, f"i {kind}, text string, n_bytes bigint, n_tokens bigint, cut boolean").withColumnRenamed("i", id_col)
+
+
+def reencode(edits: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", start_col: str = "start", end_col: str = "end", new_col: str = "new", id_col: str = "doc_id") -> DataFrame:
+    """id, text, ids and n_reused of rows that replace characters start to end of a text, of which the ids are known;
+    only pieces near the edit are encoded again. Null texts, ids and replacements count as empty, null places as 0 and
+    the start; places beyond the text as its end. Appending is an edit at the end."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        codec = TextCodec.of(path)
+        text, ids, used = [], [], []
+        for t, x, a, z, new in zip(*(b.column(k).to_pylist() for k in range(1, 6))):
+            t, a = t or "", a or 0
+            out = codec.edited(t, x or codec.ids(t), a, a if z is None else z, new or "")
+            for some, y in zip((text, ids, used), out):
+                some.append(y)
+        return pa.RecordBatch.from_pydict({"i": b.column(0), "text": pa.array(text, pa.string()), "ids": pa.array(ids, pa.list_(pa.int32())), "n_reused": pa.array(used, pa.int64())})
+
+    kind = edits.schema[id_col].dataType.simpleString()
+    rows = edits.select(*(F.col(c).alias(n) for c, n in zip((id_col, text_col, ids_col, start_col, end_col, new_col), "itxazn")))
+    return map_batches(rows, run, f"i {kind}, text string, ids array<int>, n_reused bigint").withColumnRenamed("i", id_col)
+
+
 def _token_bytes(path: str) -> tuple[np.ndarray, np.ndarray]:
     """All tokens' bytes in order of id, and where each begins."""
     cache = worker_cache()

@@ -350,8 +350,60 @@ def test_prefix_tables():
         assert codec.bpe.last_tokens(piece, last[: len(piece) // 2]) == last
     text = "The other thing"
     for limit in range(6):
-        cut = codec.fits(text, limit)
-        assert codec.count(text.encode()[:cut].decode()) <= limit
+        cut, n = codec.fits(text, limit)
+        assert codec.count(text.encode()[:cut].decode()) == n <= limit
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"])
+def test_every_prefix_is_counted_as_the_library_does(name):
+    codec = TextCodec(P.path(name))
+    rng = random.Random(15)
+    texts = ["".join(rng.choice(["a", "the", " ", "  ", "\n", "'s", "'ll", "'", "1", "é", "漢", "!!", "<|endoftext|>", "<|end"]) for _ in range(rng.randrange(12))) for _ in range(150)]
+    for text in [*texts, "", "a  b", "we'll", "x \n\n y"]:
+        for size, n in codec.prefixes(text):
+            assert n == codec.count(text.encode()[:size].decode()), (text, size)
+        table = codec.prefix_counts(text)
+        assert sum(x is not None for x in table) == len(text) + 1
+        for limit in (0, 1, 3, 7):
+            best = max(i for i, x in enumerate(table) if x is not None and x <= limit)
+            assert codec.fits(text, limit) == (best, table[best])
+
+
+def test_edits_encode_again_only_what_is_near(spark):
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    codec = TextCodec(path)
+    rng = random.Random(16)
+    word = lambda: rng.choice(["the", " other", "  ", "\n", "'s", "1", "é", " 漢字", "!!", " x"])
+    rows = []
+    for i in range(300):
+        text = "".join(word() for _ in range(rng.randrange(30)))
+        a = rng.randrange(len(text) + 1)
+        z = rng.randrange(a, len(text) + 1)
+        new = "".join(word() for _ in range(rng.randrange(4)))
+        out, ids, used = codec.edited(text, codec.ids(text), a, z, new)
+        assert out == text[:a] + new + text[z:] and ids == codec.ids(out) and used <= len(ids)
+        rows.append((i, text, codec.ids(text), a, z, new))
+    long = " word" * 5000
+    assert codec.edited(long, codec.ids(long), 12_000, 12_005, " other")[2] > 4990
+    rows += [(400, None, None, None, None, None), (401, "abc", None, 3, None, " def"), (401, "abc", None, 99, 999, "!")]
+    df = spark.createDataFrame([(*r, "n") for r in rows], "doc_id long, text string, ids array<int>, start int, end int, new string, n_reused string")
+    got = {(r.doc_id, r.text): list(r.ids) for r in tokens.reencode(df, path).collect()}
+    assert all(ids == codec.ids(text) for (_, text), ids in got.items()) and (400, "") in got and (401, "abc def") in got and (401, "abc!") in got
+    assert tokens.reencode(df.limit(0), path).count() == 0
+
+
+def test_truncation_of_tables(spark, odd_docs):
+    path = P.path("byte_bpe_50k.json")
+    codec = TextCodec(path)
+    got = tokens.truncate(odd_docs, path, 5).collect()
+    assert len(got) == odd_docs.count()
+    whole = {}
+    for r in odd_docs.collect():
+        whole.setdefault(r.doc_id, set()).add(r.text or "")
+    for r in got:
+        assert any(t.startswith(r.text) and (t != r.text) == r.cut for t in whole[r.doc_id])
+        assert r.n_tokens == codec.count(r.text) <= 5 and r.n_bytes == len(r.text.encode())
+    assert tokens.truncate(odd_docs.limit(0), path, 5).count() == 0
 
 
 def test_sharding(spark, odd_docs):
@@ -369,6 +421,21 @@ def test_sharding(spark, odd_docs):
     assert sharding.assign(odd_docs.limit(0)).count() == 0
 
 
+def test_sharding_writes_and_spreads_equal_rows(spark, odd_docs, tmp_path, monkeypatch):
+    docs = odd_docs.withColumnRenamed("n_words", "shard")
+    sharding.write(docs, str(tmp_path / "out"), 4)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == docs.count() and set(back.columns) == {*docs.columns, "shard_number"}
+    want = {r.doc_id: r.shard for r in sharding.assign(docs, 4).collect()}
+    assert all(want[r.doc_id] == r.shard_number for r in back.collect())
+    monkeypatch.setattr(sharding, "CHUNK", 7)
+    same = spark.range(50).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "'' AS text").union(spark.range(30).selectExpr("id AS doc_id", "'x' AS text"))
+    slots = {}
+    for r in sharding.assign(same, 3).collect():
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert sum(map(len, slots.values())) == 80 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_quality_learns_and_keeps_columns(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 9)))
@@ -380,13 +447,48 @@ def test_quality_learns_and_keeps_columns(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
     labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(400)] + [(5, None), (None, 1)], "doc_id long, quality int")
     model = quality.fit(docs, labels)
-    got = quality.score(docs.drop("score"), model).collect()
+    got = quality.score(docs, model).collect()
     assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
     assert sum((r.score >= 0.5) == (r.doc_id % 4 > 0) for r in got if r.doc_id is not None and r.doc_id < 400) >= 396
     good = quality.keep_good(docs, model)
     assert good.columns == docs.columns and good.filter("doc_id % 4 = 0 AND doc_id < 400").count() == 0
     nothing = quality.fit(docs, labels.limit(0))
-    assert {r.score for r in quality.score(docs.drop("score"), nothing).collect()} == {0.5}
+    assert {r.score for r in quality.score(docs, nothing).collect()} == {0.5}
+
+
+def test_trees_against_a_plain_walk_and_a_plain_trainer():
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(300, 5)), 1)
+    y = ((x[:, 1] > 0.3) ^ (x[:, 3] > 1)).astype(float)
+    model = quality.train(x, y, trees=6, levels=3)
+
+    def walk(row):
+        total = model.base
+        for t in range(len(model.feature)):
+            node = 0
+            for _ in range(model.levels):
+                node = 2 * node + (2 if row[model.feature[t][node]] > model.threshold[t][node] else 1)
+            total += model.value[t][node - 7]
+        return 1 / (1 + np.exp(-total))
+
+    assert np.allclose(model.score(x), [walk(r) for r in x])
+    # One stump: every statistic and every value is tried as the border.
+    p = (y.sum() + 0.5) / 301
+    g, h = p - y, np.full(300, p * (1 - p))
+    best = max((sum(g[m].sum() ** 2 / (h[m].sum() + 1) for m in (x[:, j] <= v, x[:, j] > v)), j, v) for j in range(5) for v in np.unique(x[:, j])[:-1] if 5 <= (x[:, j] <= v).sum() <= 295)
+    stump = quality.train(x, y, trees=1, levels=1, bins=1000)
+    left = x[:, best[1]] <= best[2]
+    assert stump.feature[0, 0] == best[1] and ((x[:, best[1]] <= stump.threshold[0, 0]) == left).all()
+    assert np.allclose(stump.value[0], [-0.15 * g[m].sum() / (h[m].sum() + 1) for m in (left, ~left)])
+
+
+def test_quality_of_one_id_with_several_texts_is_learnt_the_same(spark):
+    docs = spark.createDataFrame([(i % 50, "good words here " * (i % 9 + 1) if i % 2 else "$$ %% " * (i % 7 + 1), "x") for i in range(300)], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, quality int")
+    a, b = quality.fit(docs, labels), quality.fit(docs.repartition(7, "text"), labels)
+    assert np.array_equal(a.threshold, b.threshold) and np.array_equal(a.value, b.value)
+    out = quality.score(docs, a)
+    assert out.columns == ["doc_id", "score"] and out.count() == 300 and quality.score(docs.limit(0), a).count() == 0
 
 
 def test_statistics_ignore_how_rows_are_grouped():
