@@ -21,7 +21,7 @@ import regex
 from .common import BYTE_BASE, mix, powers, worker_cache
 
 #: Pieces that a worker remembers, about 40 bytes each; beyond that it starts anew.
-KNOWN_PIECES = 2_400_000
+KNOWN_PIECES = 1_000_000
 
 _SPACE = "\t-\r \x85\xa0  -     　"
 _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
@@ -82,29 +82,28 @@ class PrefixBPE:
         """Whether the encoding of a+b is a, b. Undoes the two tokens' merges from the last one on. Each step
         shows the pair that faced each other across the border before a merge took one of them away; had that
         pair merged sooner, or as soon but further left, the border would not have lasted."""
-        key = (a, b)
-        known = self.pairs.get(key)
-        if known is not None:
-            return known
-        if len(self.pairs) > 2_000_000:
-            self.pairs.clear()
         until = float("inf")
-        ok = True
         while True:
             across = self.rank(a, b)
             if across is not None and across < until:
-                ok = False
-                break
+                return False
             left, right = (self.split(a) if len(a) > 1 else None), (self.split(b) if len(b) > 1 else None)
             if left is None and right is None:
-                break
+                return True
             last_a, last_b = self.rank(*left) if left else -1, self.rank(*right) if right else -1
             if last_a > last_b:  # equal ranks: the left one merged first, so the right one is undone first
                 a, until = left[1], last_a
             else:
                 b, until = right[0], last_b + 0.5
-        self.pairs[key] = ok
-        return ok
+
+    def _known_valid(self, a: bytes, b: bytes) -> bool:
+        """valid, remembered for some pairs; about 200 bytes each."""
+        known = self.pairs.get((a, b))
+        if known is None:
+            if len(self.pairs) >= 50_000:
+                self.pairs.clear()
+            known = self.pairs[(a, b)] = self.valid(a, b)
+        return known
 
     def last_tokens(self, piece: bytes, known: list[bytes] | None = None) -> list[bytes]:
         """Item i is the last token of the encoding of piece[:i+1]; known holds those of a prefix of it."""
@@ -112,7 +111,7 @@ class PrefixBPE:
         if self.ends is None:
             self.ends = dict.fromkeys((t[i:] for t in self.vocabulary for i in range(1, len(t))), False)
             self.ends.update(dict.fromkeys(self.vocabulary, True))
-        ends, pairs = self.ends.get, self.pairs.get
+        ends = self.ends.get
         for end in range(len(last) + 1, len(piece) + 1):
             found = []  # suffixes of the prefix that are tokens, the longest last
             start = end - 1
@@ -128,9 +127,7 @@ class PrefixBPE:
                 token = found.pop()
                 size = len(token)
                 if size != end:
-                    before = last[end - size - 1]
-                    ok = pairs((before, token))
-                    if not (self.valid(before, token) if ok is None else ok):
+                    if not self._known_valid(last[end - size - 1], token):
                         continue
                 if size == 1 or self.split(token):
                     break
