@@ -9,22 +9,13 @@ from __future__ import annotations
 import ast
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-UNITS = "path string, rec string, kind string, unit_type string, name string, qualname string, signature string, summary string, start_line int, end_line int, byte_start int, byte_end int, target string"
-_NAMES = [c.split()[0] for c in UNITS.split(", ")]
-
-
-def _row(path, rec, kind=None, unit_type=None, name=None, qualname=None, signature="", summary="", lines=(0, 0), span=(0, 0), target=None) -> tuple:
-    return path, rec, kind, unit_type, name, qualname, signature, summary, *lines, *span, target
-
-
-def _collapse(s: str, n: int) -> str:
-    return re.sub(r"\s+", " ", s).strip()[:n]
-
+from . import scanners
+from .rows import NAMES, UNITS, collapse, row, valid_aliases
 
 def python(path: str, text: str) -> Iterator[tuple]:
     starts, at = [], 0
@@ -41,9 +32,11 @@ def python(path: str, text: str) -> Iterator[tuple]:
     except (SyntaxError, ValueError, RecursionError):
         for m in re.finditer(r"^([ \t]*)(?:async\s+)?(def|class)\s+([A-Za-z_]\w*)[^\n]*", text, re.M):
             a, line = len(text[: m.start(2)].encode()), text.count("\n", 0, m.start()) + 1
-            yield _row(path, "unit", "symbol", "class" if m[2] == "class" else "function", m[3], m[3], _collapse(m[0], 300), "", (line, line), (a, len(text[: m.end()].encode())))
+            yield row(path, "unit", "symbol", "class" if m[2] == "class" else "function", m[3], m[3], collapse(m[0], 300), "", (line, line), (a, len(text[: m.end()].encode())))
         return
 
+    aliases: list[tuple[str, str]] = []
+
     def walk(body, prefix: str, in_class: bool) -> Iterator[tuple]:
         for node in body:
             if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
@@ -53,28 +46,28 @@ def python(path: str, text: str) -> Iterator[tuple]:
                 head = re.sub(r":\s*(#.*)?$", "", head.split('"""')[0].rstrip())
                 kind = "class" if is_class else "method" if in_class else "function"
                 qualname = prefix + node.name
-                yield _row(path, "unit", "symbol", kind, node.name, qualname, _collapse(head, 300), _collapse(ast.get_docstring(node) or "", 220), (node.lineno, node.end_lineno), (a, b))
+                yield row(path, "unit", "symbol", kind, node.name, qualname, collapse(head, 300), collapse(ast.get_docstring(node) or "", 220), (node.lineno, node.end_lineno), (a, b))
                 yield from walk(node.body, qualname + ".", is_class)
             elif isinstance(node, ast.Import | ast.ImportFrom):
                 module = "." * getattr(node, "level", 0) + (getattr(node, "module", None) or "") if isinstance(node, ast.ImportFrom) else ""
                 full = [(f"{module}.{n.name}" if module else n.name) for n in node.names]
                 statement = ast.get_source_segment(text, node) or ""
                 star = any(n.name == "*" for n in node.names)
-                yield _row(path, "unit", "symbol", "import", statement if star else node.names[0].name.split(".")[-1], statement if star else full[0], _collapse(statement, 300), "", (node.lineno, node.end_lineno), span(node))
-                for n, target in zip(node.names, full):
-                    if n.name != "*" and (n.asname or isinstance(node, ast.ImportFrom)):
-                        yield _row(path, "alias", name=n.asname or n.name, target=target)
+                yield row(path, "unit", "symbol", "import", statement if star else node.names[0].name.split(".")[-1], statement if star else full[0], collapse(statement, 300), "", (node.lineno, node.end_lineno), span(node))
+                aliases.extend((n.asname or n.name, target) for n, target in zip(node.names, full) if n.name != "*" and (n.asname or isinstance(node, ast.ImportFrom)))
             else:
                 for field in ("body", "orelse", "finalbody", "handlers", "cases"):
                     for inner in getattr(node, field, None) or []:
                         yield from walk([inner] if isinstance(inner, ast.stmt) else inner.body, prefix, in_class)
 
     yield from walk(tree.body, "", False)
+    for alias, target in valid_aliases(aliases):
+        yield row(path, "alias", name=alias, target=target)
     for node in ast.walk(tree):
         if isinstance(node, ast.Call):
-            full = _collapse(ast.get_source_segment(text, node.func) or "", 300)
+            full = collapse(ast.get_source_segment(text, node.func) or "", 300)
             sep = next((s for s in (".", "::", "/") if s in full), None)
-            yield _row(path, "call", name=full.split(sep)[-1] if sep else full, qualname=full, lines=(node.lineno, node.end_lineno), span=span(node))
+            yield row(path, "call", name=full.split(sep)[-1] if sep else full, qualname=full, lines=(node.lineno, node.end_lineno), span=span(node))
 
 
 def markdown(path: str, text: str, most_lines: int = 150) -> Iterator[tuple]:
@@ -96,7 +89,7 @@ def markdown(path: str, text: str, most_lines: int = 150) -> Iterator[tuple]:
             y = min(b, x + most_lines)
             body = " ".join(s.strip() for s in lines[x:y] if s.strip())
             if body:
-                yield _row(path, "unit", "chunk", "doc_chunk", title or path, f"#{path}#{title.lstrip('#').strip()}", "", body[:220], (x + 1, y), (offsets[x], min(offsets[y], len(text.encode()))))
+                yield row(path, "unit", "chunk", "doc_chunk", title or path, f"#{path}#{title.lstrip('#').strip()}", "", body[:220], (x + 1, y), (offsets[x], min(offsets[y], len(text.encode()))))
 
 
 def _leaves(value, prefix: str) -> Iterator[tuple[str, str]]:
@@ -148,24 +141,43 @@ def config(path: str, text: str, language: str) -> Iterator[tuple]:
             if m := re.match(r"\s*(?:export\s+)?([A-Za-z_]\w*)\s*=\s*(.*)", s):
                 found.append((m[1], m[2].strip(), i))
     for key, value, i in found:
-        yield _row(path, "unit", "symbol", "config_key", key.split(".")[-1], key, f"{key} = {value}"[:300], "", (i, i))
+        yield row(path, "unit", "symbol", "config_key", key.split(".")[-1], key, f"{key} = {value}"[:300], "", (i, i))
+
 
+Extractor = Callable[[str, str, str], Iterator[tuple]]
 
-def extract_one(path: str, language: str, text: str) -> Iterator[tuple]:
-    if language == "python":
-        yield from python(path, text)
-    elif language == "markdown":
-        yield from markdown(path, text)
-    elif language in ("json", "yaml", "toml", "ini", "env"):
-        yield from config(path, text, language)
+#: By language: path, text and language to rows. register puts others in their place.
+EXTRACTORS: dict[str, Extractor] = {
+    "python": lambda path, text, _: python(path, text),
+    "markdown": lambda path, text, _: markdown(path, text),
+    **dict.fromkeys(("json", "yaml", "toml", "ini", "env"), config),
+    **dict.fromkeys(scanners.LANGUAGES, scanners.scan),
+}
+
+
+def register(language: str, extractor: Extractor) -> None:
+    EXTRACTORS[language] = extractor
+
+
+def extract_one(path: str, language: str, text: str, extractors: dict[str, Extractor] | None = None) -> Iterator[tuple]:
+    known = (EXTRACTORS if extractors is None else extractors).get(language)
+    if known is not None:
+        yield from known(path, text, language)
+
+
+def slice_bytes(text: str, start: int, end: int) -> str:
+    """The part of a text between two places in its UTF-8 bytes."""
+    return text.encode("utf-8", "replace")[start:end].decode("utf-8", "replace")
 
 
 def extract(files: DataFrame) -> DataFrame:
     """UNITS of files (path, language, text): rec is unit, call (name: last part, qualname: chain) or alias."""
 
+    extractors = dict(EXTRACTORS)  # as registered here, also on the executors
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [r for p, lang, t in zip(b["path"], b["language"], b["text"]) for r in extract_one(p, lang, t or "")]
-            yield pd.DataFrame(rows, columns=_NAMES)
+            rows = [r for p, lang, t in zip(b["path"], b["language"], b["text"]) for r in extract_one(p, lang, t or "", extractors)]
+            yield pd.DataFrame(rows, columns=NAMES)
 
     return files.select("path", "language", "text").mapInPandas(run, UNITS)
