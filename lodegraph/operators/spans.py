@@ -58,6 +58,16 @@ def trim_to_budget(text: Column, max_tokens: int) -> Column:
     return F.array_join(F.slice(lines(text), 1, acc["kept"]), "\n")
 
 
+NOTE = "\n... (cut to the budget)"
+
+
+def fit_evidence(text: Column, max_tokens: int, note: str = NOTE) -> Column:
+    """The text if it fits; else its whole leading lines that fit, with a note if that fits as well."""
+    room = max_tokens * 4
+    kept = trim_to_budget(text, max_tokens)
+    return F.when(F.length(text) <= room, text).when(F.length(kept) + len(note) <= room, F.concat(kept, F.lit(note))).otherwise(kept)
+
+
 def read_lines(text: Column, first: int, last: int) -> Column:
     """Lines first to last, counted from 1, both included, clamped to the text."""
     return F.array_join(F.slice(lines(text), max(first, 1), max(0, last - max(first, 1) + 1)), "\n")
