@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .search import dot
+
 
 def metrics(runs: DataFrame, top_k: int) -> DataFrame:
     """Per query (columns query_id; gold, hits: arrays of ids in rank order; gold_hops: map of id to hop):
@@ -24,6 +26,48 @@ def metrics(runs: DataFrame, top_k: int) -> DataFrame:
     )
 
 
+def file_recall(gold: Column, hits: Column, top_k: int) -> Column:
+    """The share of gold files among those of the first hits; 0 without gold."""
+    found = F.size(F.array_intersect(gold, F.slice(hits, 1, top_k)))
+    return F.when(F.size(gold) > 0, found / F.size(F.array_distinct(gold))).otherwise(F.lit(0.0))
+
+
+def summary(scores: DataFrame, columns: list[str]) -> DataFrame:
+    """n and the mean of each column over queries, nulls left out; 0 where there is nothing to average."""
+    return scores.agg(F.count(F.lit(1)).alias("n"), *(F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in columns))
+
+
+def best_cells(scores: DataFrame, key: str, metrics: dict[str, bool]) -> DataFrame:
+    """key, metric, value of the best of each metric, all ties; the highest is best where the metric's entry is true."""
+    long = scores.unpivot([key], list(metrics), "metric", "value")
+    ends = long.groupBy("metric").agg(F.max("value").alias("__hi"), F.min("value").alias("__lo"))
+    high = [m for m, up in metrics.items() if up]
+    best = F.when(F.col("metric").isin(*high), F.col("__hi")).otherwise(F.col("__lo")) if high else F.col("__lo")
+    return long.join(F.broadcast(ends), "metric").filter(F.col("value") == best).select(key, "metric", "value")  # a row a metric
+
+
+def compare(before: DataFrame, after: DataFrame, key: str, metrics: list[str]) -> DataFrame:
+    """key, metric, before, after and delta over both reports; null where a report lacks the key."""
+    long = lambda df, name: df.unpivot([key], metrics, "metric", name)
+    return long(before, "before").join(long(after, "after"), [key, "metric"], "full_outer").withColumn("delta", F.col("after") - F.col("before"))
+
+
+def upper_median(col: str) -> Column:
+    """sorted[n // 2] of n values."""
+    return F.expr(f"-percentile_disc(0.5) WITHIN GROUP (ORDER BY -{col})")
+
+
+def sample(rows: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
+    """n rows with their place, in an order that seed and id alone decide."""
+    order = [F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")).cast("binary")), F.col(id_col)]
+    return rows.orderBy(*order).limit(n).withColumn("place", F.row_number().over(Window.orderBy(*order)))  # n rows
+
+
+def chunk_baseline(chunks: DataFrame, vector_col: str, query: Column, k: int = 5) -> DataFrame:
+    """The k chunks whose vectors have the largest inner product with the query's."""
+    return chunks.withColumn("score", dot(F.col(vector_col), query)).orderBy(F.col("score").desc(), *(c for c in ("doc_id", "chunk") if c in chunks.columns)).limit(k)
+
+
 def percentiles(col: str) -> list[Column]:
     """p50 and p95 as order statistics: sorted[(n - 1) // 2] and sorted[ceil(0.95 n) - 1]."""
     return [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {col})").alias(n) for n, p in (("p50", 0.5), ("p95", 0.95))]

@@ -45,6 +45,10 @@ def l2_distance(a: Column, b: list[float]) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, other, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x))
 
 
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
 def knn(vectors: DataFrame, id_col: str, vector_col: str, query: list[float], limit: int = 30, where: Column | None = None) -> DataFrame:
     """id, distance and dense_rank of the nearest vectors by exact scan; where filters first."""
     rows = vectors if where is None else vectors.filter(where)

@@ -452,22 +452,75 @@ def callers_concat(spark, d):
 
 
 def _runs(spark, d) -> DataFrame:
-    """A question per customer: ordered parts of one flag are the gold, all parts by price the hits."""
-    lines = table(spark, d, "lineitem").filter("l_orderkey % 10 = 0")
+    """A question per order: its parts of one flag are the gold, all its parts by price the hits."""
+    lines = table(spark, d, "lineitem")
     hits = F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("l_extendedprice")).alias("p"), "l_linenumber", "l_partkey"))), 1, 20), lambda x: x["l_partkey"])
     gold = F.array_sort(F.collect_set(F.when(F.col("l_returnflag") == "R", F.col("l_partkey"))))
     return lines.groupBy(F.col("l_orderkey").alias("query_id")).agg(gold.alias("gold"), hits.alias("hits")).withColumn("gold_hops", F.map_from_entries(F.transform("gold", lambda g: F.struct(g, (g % 3 + 1).cast("int")))))
 
 
-@query("""WITH h AS (SELECT l_orderkey AS query_id, list(l_partkey ORDER BY -l_extendedprice, l_linenumber)[1:5] AS top, list_sort(coalesce(list(DISTINCT l_partkey) FILTER (WHERE l_returnflag = 'R'), [])) AS gold FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY l_orderkey),
+_SQL_METRICS = """WITH h AS (SELECT l_orderkey AS query_id, list(l_partkey ORDER BY -l_extendedprice, l_linenumber)[1:5] AS top, list_sort(coalesce(list(DISTINCT l_partkey) FILTER (WHERE l_returnflag = 'R'), [])) AS gold FROM lineitem GROUP BY l_orderkey),
 m AS (SELECT *, len(list_intersect(gold, list_distinct(top))) AS f, list_filter(gold, lambda g: g % 3 + 1 >= 2) AS far, list_min(list_filter([CASE WHEN list_contains(gold, top[i]) THEN i END FOR i IN range(1, len(top) + 1)], lambda x: x IS NOT NULL)) AS r FROM h)
 SELECT query_id, round(CASE WHEN len(gold) > 0 THEN f::DOUBLE / len(gold) ELSE 0 END, 6) AS unit_recall, round(CASE WHEN len(top) > 0 THEN f::DOUBLE / len(list_distinct(top)) ELSE 0 END, 6) AS precision,
-round(CASE WHEN len(far) > 0 THEN len(list_intersect(far, list_distinct(top)))::DOUBLE / len(far) END, 6) AS indirect_recall, round(coalesce(1.0::DOUBLE / r, 0), 6) AS mrr FROM m""")
+round(CASE WHEN len(far) > 0 THEN len(list_intersect(far, list_distinct(top)))::DOUBLE / len(far) END, 6) AS indirect_recall, round(coalesce(1.0::DOUBLE / r, 0), 6) AS mrr FROM m"""
+
+
+@query(_SQL_METRICS)
 def retrieval_metrics(spark, d):
     out = evaluate.metrics(_runs(spark, d), 5)
     return out.select("query_id", *(r6(c).alias(c) for c in ("unit_recall", "precision", "indirect_recall", "mrr")))
 
 
+@query(f"SELECT round(avg(unit_recall), 4) AS unit_recall, round(coalesce(avg(indirect_recall), 0), 4) AS indirect_recall, round(avg(precision), 4) AS precision, round(avg(mrr), 4) AS mrr, count(*) AS n FROM ({_SQL_METRICS})")
+def metrics_summary(spark, d):
+    out = evaluate.summary(evaluate.metrics(_runs(spark, d), 5), ["unit_recall", "indirect_recall", "precision", "mrr"])
+    return out.select("n", *(F.round(c, 4).alias(c) for c in ("unit_recall", "indirect_recall", "precision", "mrr")))
+
+
+@query("""WITH s AS (SELECT o_orderpriority AS system, round(avg(o_totalprice), 4) AS price, count(*)::DOUBLE AS orders FROM orders GROUP BY 1)
+SELECT system, 'price' AS metric, price AS value FROM s WHERE price = (SELECT max(price) FROM s) UNION ALL SELECT system, 'orders', orders FROM s WHERE orders = (SELECT min(orders) FROM s)""")
+def best_cells(spark, d):
+    scores = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("system")).agg(F.round(F.avg("o_totalprice"), 4).alias("price"), F.count(F.lit(1)).cast("double").alias("orders"))
+    return evaluate.best_cells(scores, "system", {"price": True, "orders": False})
+
+
+_SQL_REPORT = "SELECT o_orderpriority AS system, round(avg(o_totalprice), 4) AS price, count(*)::DOUBLE AS orders FROM orders WHERE o_orderstatus = '%s' GROUP BY 1"
+
+
+@query(f"""WITH a AS ({_SQL_REPORT % 'F'} HAVING o_orderpriority <> '5-LOW'), b AS ({_SQL_REPORT % 'O'}), j AS (SELECT coalesce(a.system, b.system) AS system, a.price AS p0, b.price AS p1, a.orders AS o0, b.orders AS o1 FROM a FULL JOIN b ON a.system = b.system)
+SELECT system, 'price' AS metric, p0 AS before, p1 AS after, round(p1 - p0, 4) AS delta FROM j UNION ALL SELECT system, 'orders', o0, o1, round(o1 - o0, 4) FROM j""")
+def compare_reports(spark, d):
+    report = lambda status: table(spark, d, "orders").filter(F.col("o_orderstatus") == status).groupBy(F.col("o_orderpriority").alias("system")).agg(F.round(F.avg("o_totalprice"), 4).alias("price"), F.count(F.lit(1)).cast("double").alias("orders"))
+    out = evaluate.compare(report("F").filter("system != '5-LOW'"), report("O"), "system", ["price", "orders"])
+    return out.withColumn("delta", F.round("delta", 4))
+
+
+@query("SELECT o_orderpriority, median AS saving FROM (SELECT o_orderpriority, list_sort(list(o_totalprice))[count(*) // 2 + 1] AS median FROM orders GROUP BY o_orderpriority)")
+def upper_median(spark, d):
+    return table(spark, d, "orders").groupBy("o_orderpriority").agg(evaluate.upper_median("o_totalprice").alias("saving"))
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id::VARCHAR), doc_id)::INTEGER AS place FROM documents QUALIFY place <= 25")
+def seeded_sample(spark, d):
+    return evaluate.sample(table(spark, d, "documents").select("doc_id"), "doc_id", 25, 42)
+
+
+@query("""WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], e), 5) AS score FROM embeddings, q)
+SELECT vec_id, score FROM s ORDER BY score DESC, vec_id LIMIT 30""")
+def dot_top(spark, d):
+    v = table(spark, d, "embeddings")
+    asked = v.filter("vec_id = 0").select(F.col("embedding").alias("e"))
+    scored = v.crossJoin(F.broadcast(asked)).select("vec_id", F.round(search.dot(F.col("embedding"), F.col("e")), 5).alias("score"))  # one row
+    return scored.orderBy(F.col("score").desc(), "vec_id").limit(30)
+
+
+@query(f"SELECT b.doc_id, b.score FROM ({_sql_bm25('documents', 'doc_id', {'text': 1.0}, 'ering pour+la Ciónes', None)}) b JOIN documents USING (doc_id) WHERE lang = 'es'")
+def bm25_language(spark, d):
+    """A filter on language comes after the corpus' figures, so it changes no score."""
+    out = search.bm25(table(spark, d, "documents"), "doc_id", {"text": 1.0}, "ering pour+la Ciónes", None, ["lang"])
+    return out.filter("lang = 'es'").select("doc_id", r6("score").alias("score"))
+
+
 @query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type")
 def latency_percentiles(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"), *evaluate.percentiles("value"))

@@ -56,7 +56,9 @@ def scan(spark: SparkSession, root: str, ignore: list[str] | None = None, includ
     """FILES of all known files below root. Include patterns take the place of all ignore patterns. Texts are UTF-8,
     with replacement characters for what isn't."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    rel = F.expr(f"substring(path, instr(path, '{root.rstrip('/')}/') + {len(root.rstrip('/')) + 1})")
+    # Paths come as encoded URIs; a plus sign in them is one.
+    plain, base = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), root.rstrip("/") + "/"
+    rel = F.substring(plain, F.locate(base, plain) + len(base), F.length(plain))
     rows = raw.select(rel.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
     if include:
         rows = rows.filter(F.col("path").rlike("|".join(filter(None, map(ignore_regex, include)))))
@@ -67,3 +69,19 @@ def scan(spark: SparkSession, root: str, ignore: list[str] | None = None, includ
     if languages:
         rows = rows.filter(F.col("l.language").isin(*languages, *(["tsx"] if "typescript" in languages else [])))
     return rows.select("path", "l.language", "l.kind", "size", "mtime", F.sha2("content", 256).alias("sha256"), F.expr("make_valid_utf8(cast(content AS string))").alias("text"))
+
+
+QUESTION = "id string, question string, kind string, target string, gold array<long>, gold_hops map<string,int>, gold_files array<string>, gold_file string"
+
+
+def questions(spark: SparkSession, path: str) -> DataFrame:
+    """Questions from a file of JSON lines; blanks and lines that begin with # are passed over. A line that is no
+    object, or asks nothing, is an error that names its place; an old gold_file counts as one of gold_files."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "line"))
+    lines = lines.filter((F.trim("line") != "") & ~F.startswith(F.trim("line"), F.lit("#")))
+    q = F.from_json("line", QUESTION)
+    where = F.concat(F.lit(f"{path}:"), (F.col("at") + 1).cast("string"), F.lit(" is no question"))
+    out = lines.withColumn("q", q).withColumn("q", F.when(F.col("q.question").isNotNull(), F.col("q")).otherwise(F.raise_error(where)))
+    out = out.select("at", "q.*").withColumn("gold_files", F.coalesce("gold_files", F.when(F.col("gold_file").isNotNull(), F.array("gold_file")), F.array().cast("array<string>")))
+    out = out.withColumn("gold_hops", F.transform_keys("gold_hops", lambda k, v: k.cast("long")))
+    return out.withColumnRenamed("at", "place").drop("gold_file")
