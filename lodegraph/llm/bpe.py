@@ -21,7 +21,7 @@ import regex
 from .common import BYTE_BASE, mix, powers, worker_cache
 
 #: Pieces that a worker remembers, about 40 bytes each; beyond that it starts anew.
-KNOWN_PIECES = 1_000_000
+KNOWN_PIECES = 500_000
 
 _SPACE = "\t-\r \x85\xa0  -     　"
 _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"

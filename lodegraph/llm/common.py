@@ -6,7 +6,7 @@ import ctypes
 import sys
 import tempfile
 import types
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -91,13 +91,13 @@ def give_back() -> None:
         pass
 
 
-def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | list[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim(f.__module__)
         for b in batches:
             if b.num_rows:
                 out = f(b)
-                yield from out if isinstance(out, list) else [out]
+                yield from [out] if isinstance(out, pa.RecordBatch) else out
                 del b, out
         give_back()
 
@@ -145,7 +145,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             p[0] = 1
             both.append(np.multiply.accumulate(p))
         have = tuple(both)
-        if size <= 1 << 23:
+        if size <= 1 << 21:
             cache[("powers", base)] = have
     return have[0][:n], have[1][:n]
 

@@ -8,6 +8,7 @@ texts are cut into pieces, and a worker solves each distinct piece once by prefi
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -105,28 +106,22 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "do
 
     The digest of the ids is over little-endian unsigned 32-bit integers; decoding starts from those ids."""
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         codec = TextCodec.of(path)
         data, off = utf8(b.column(1))
-        n, ids, decoded, kept = [], [], [], []
         for x, y in groups(off):
             count, flat = codec.encode_rows(data, off[x : y + 1])
             all_ids = flat()
             _, text, ends = decode_all(all_ids, path)
-            at = 0
+            ids, decoded, at = [], [], 0
             for c in count.tolist():
                 ids.append(hashlib.sha256(all_ids[at : at + c].astype("<u4", copy=False)).hexdigest())
                 decoded.append(hashlib.sha256(text[ends[at] : ends[at + c]]).hexdigest())
                 at += c
-            n.extend(count.tolist())
+            out = {"i": b.column(0).slice(x, y - x), "n_tokens": pa.array(count, pa.int64()), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
             if with_ids:
-                kept.append(all_ids)
-        out = {"i": b.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
-        if with_ids:
-            at = np.zeros(len(n) + 1, np.int32)
-            np.cumsum(n, out=at[1:])
-            out["ids"] = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(kept)))
-        return pa.RecordBatch.from_pydict(out)
+                out["ids"] = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(all_ids))
+            yield pa.RecordBatch.from_pydict(out)
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"i {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
